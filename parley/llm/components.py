@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, save
@@ -42,34 +42,40 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = nxt
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: tuple[str, ...] = ("min", "max")) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: int = 3, prefer: tuple[str, ...] = ()) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
     verify: gets distinct pairs (a, b) and returns those that are links.
     could: a condition on columns prefixed x_ and y_ of the two members that true links pass.
+    prefer: columns of which a low value lets a member pass `could` more often.
 
-    A group of copies is first linked through one member of each bucket, so that its size, not
-    the square of it, is verified. Then only buckets whose nodes are still in different
-    components go on, and in the last step every pair of nodes of different components in a
-    bucket is verified, so no link that could join two components is left out.
+    In each round every bucket names one member, and every node is verified against one of those
+    named by its buckets, from the second round on against eight, so that a group of copies costs its size and not the square of it.
+    Only buckets whose nodes are still in different components go on. In the last step every
+    pair of nodes of different components in a bucket is verified, so no link that could join
+    two components is left out.
     """
     extra = [c for c in members.columns if c not in ("key", "node")]
     labelled, links, tested = members.withColumn("label", F.col("node")), None, None
-    for step in (*rounds, "all"):
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
-        if step != rounds[0]:
+    for step in range(rounds + 1):
+        if step:
+            mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
             labelled = save(labelled.join(mixed, "key", "left_semi"))
         x = labelled.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", *extra)])
-        if step == "all":
+        if step == rounds:
             y = labelled.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", *extra)])
         else:
-            row = F.struct("node", "label", *extra)
-            y = labelled.groupBy("key").agg((F.min(row) if step == "min" else F.max(row)).alias("y"))
-            y = y.select("key", *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
-        both = x.join(y, "key").where(F.col("x_label") < F.col("y_label") if step == "all" else F.col("x_label") != F.col("y_label"))
+            turn = F.col("node") if not step else F.struct(*prefer, F.xxhash64("node", "key", F.lit(step)))
+            y = labelled.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "label", *extra)).alias("y"))
+            y = y.select("key", F.col("y.turn").alias("turn"), *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
+        both = x.join(y, "key").where(F.col("x_label") < F.col("y_label") if step == rounds else F.col("x_label") != F.col("y_label"))
         if could is not None:
             both = both.where(could("x_", "y_"))
+        if step < rounds:
+            # a node of a loosely knit group is tried against a few, whose components then merge
+            own = Window.partitionBy("x_node").orderBy("turn", "y_node")
+            both = both.groupBy("x_node", "y_node").agg(F.min("turn").alias("turn")).withColumn("r", F.row_number().over(own)).where(F.col("r") <= (8 if step else 1))
         pairs = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -77,8 +83,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         found = save(verify(pairs))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
+        if step < rounds and found.isEmpty():
+            continue
         labels = components(links)
-        if step == "all":
-            return labels
-        labelled = save(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
-    raise AssertionError("rounds end with all")
+        if step < rounds:
+            labelled = save(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
+    return labels
