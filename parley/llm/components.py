@@ -57,7 +57,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     two components is left out.
     """
     extra = [c for c in members.columns if c not in ("key", "node")]
-    labelled, links, tested = members.withColumn("label", F.col("node")), None, None
+    labelled, links, tested, labels = members.withColumn("label", F.col("node")), None, None, None
     for step in range(rounds + 1):
         if step:
             mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
@@ -83,8 +83,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         found = save(verify(pairs))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if step < rounds and found.isEmpty():
-            continue
+        if labels is not None and found.isEmpty():
+            continue  # nothing new has merged
         labels = components(links)
         if step < rounds:
             labelled = save(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
