@@ -69,16 +69,17 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     members = save(members.join(shared, "key", "left_semi"))
     nodes = members.select(F.col("node").alias("h")).distinct()
-    texts = save(lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line")))
+    # whole lines of the candidates as sets of shingle hashes, made once
+    texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line"))
+    sets = save(texts.select("h", F.array_distinct(_shingles("line", width)).alias("s")).select("h", "s", F.size("s").alias("n")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x, y: texts.select(F.col("h").alias(x), F.col("line").alias(y))
-        both = pairs.join(side("a", "la"), "a").join(side("b", "lb"), "b")
+        side = lambda x: sets.select(F.col("h").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+        sizes = lambda x: sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"))
         # the smaller set cannot be under the threshold's share of the larger
-        sets = both.select("a", "b", F.array_distinct(_shingles("la", width)).alias("x"), F.array_distinct(_shingles("lb", width)).alias("y"))
-        same = F.size(F.array_intersect("x", "y"))
-        near = same >= similarity * (F.size("x") + F.size("y") - same)
-        return sets.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(near).select("a", "b")
+        fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+        both = fit.join(side("a"), "a").join(side("b"), "b")
+        return both.where((1 + similarity) * F.size(F.array_intersect("sa", "sb")) >= similarity * (F.col("na") + F.col("nb"))).select("a", "b")
 
     labels = link_buckets(members, verify)
     # lines that are not alone, with the place of the one that stays
