@@ -25,9 +25,8 @@ def _units(line: str) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _shingles(line: str, width: int) -> Column:
-    """Hashes of a line's shingles; a shorter line is one shingle."""
-    unit = _units(line)
+def _shingles(unit: str, width: int) -> Column:
+    """Hashes of the shingles of a column of _units; a shorter line is one shingle."""
     last = F.greatest(F.lit(1), (F.length(unit) / 2).cast("int") - width + 1)
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(unit, i * 2 - 1, F.lit(2 * width))))
 
@@ -70,8 +69,8 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     members = save(members.join(shared, "key", "left_semi"))
     nodes = members.select(F.col("node").alias("h")).distinct()
     # whole lines of the candidates as sets of shingle hashes, made once
-    texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line"))
-    sets = save(texts.select("h", F.array_distinct(_shingles("line", width)).alias("s")).select("h", "s", F.size("s").alias("n")))
+    texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value(_units("line")).alias("u"))
+    sets = save(texts.select("h", F.array_distinct(_shingles("u", width)).alias("s")).select("h", "s", F.size("s").alias("n")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("h").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
