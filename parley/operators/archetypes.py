@@ -40,6 +40,9 @@ def archetypes(signals: DataFrame, ks: range = range(3, 9), features: int = 1 <<
     words = F.flatten(F.transform("tw", lambda x: F.array_repeat(x["term"], F.greatest(F.lit(1), F.round(x["weight"] * 50).cast("int")))))
     hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(rows.select("conversation_id", words.alias("words")))
     x = Normalizer(inputCol="tf", outputCol="features").transform(hashed).select("conversation_id", "features").cache()
+    # no more clusters than different vectors
+    distinct = x.select("features").distinct().count()
+    ks = sorted({min(k, distinct) for k in ks if distinct > 1})
     best, judge = None, ClusteringEvaluator()
     for k in ks:
         made = KMeans(k=k, seed=42, initSteps=2).fit(x).transform(x)
