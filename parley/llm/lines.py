@@ -18,6 +18,9 @@ from .components import link_buckets
 #: Characters of a shingle. At a similarity of 0.8 two lines share a band with probability
 #: 1 - (1 - 0.8**3)**9 = 0.998.
 SHINGLE, BANDS, ROWS = 8, 9, 3
+#: Of the 27 minima so many must be equal before two lines are compared in full: a pair at 0.8 has
+#: fewer with probability 0.001.
+AGREE = 15
 
 
 def _units(line: str) -> Column:
@@ -25,10 +28,11 @@ def _units(line: str) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _shingles(unit: str, width: int) -> Column:
-    """Hashes of the shingles of a column of _units; a shorter line is one shingle."""
-    last = F.greatest(F.lit(1), (F.length(unit) / 2).cast("int") - width + 1)
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(unit, i * 2 - 1, F.lit(2 * width))))
+def _exploded(units: DataFrame, width: int) -> DataFrame:
+    """(h, x): the hash of each shingle of a column u of _units; a shorter line is one shingle."""
+    last = F.greatest(F.lit(1), (F.length("u") / 2).cast("int") - width + 1)
+    each = units.select("h", "u", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    return each.select("h", F.expr(f"substring(u, i * 2 - 1, {2 * width})").alias("x"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -37,19 +41,31 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, node): a hash of each band's minima for every distinct line."""
-    unit = lines.select("h", _units("line").alias("u"))
-    last = F.greatest(F.lit(1), (F.length("u") / 2).cast("int") - width + 1)
-    each = unit.select("h", "u", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    hashed = each.select("h", F.hash(F.expr(f"substring(u, i * 2 - 1, {2 * width})")).alias("x"))
-    seeds = [((i * 2654435769 + 40503) % (1 << 32)) - (1 << 31) for i in range(bands * rows)]
-    minima = hashed.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{i}") for i, s in enumerate(seeds)])
+def signatures(lines: DataFrame, width: int, n: int) -> DataFrame:
+    """(node, m0, m1, ...): n minima of every distinct line's shingle hashes."""
+    hashed = _exploded(lines.select("h", _units("line").alias("u")), width).select("h", F.hash("x").alias("x"))
+    seeds = [((i * 2654435769 + 40503) % (1 << 32)) - (1 << 31) for i in range(n)]
+    minima = [F.min(F.col("x").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{i}") for i, s in enumerate(seeds)]
+    return hashed.groupBy("h").agg(*minima).withColumnRenamed("h", "node")
+
+
+def banded(minima: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, node, minima): a hash of each band's minima."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return minima.select(F.col("h").alias("node"), F.explode(keys).alias("key")).select("key", "node")
+    return minima.select(F.explode(keys).alias("key"), *minima.columns)
+
+
+def _agree(n: int, least: int):
+    """At least so many of the n minima are equal."""
+
+    def could(x: str, y: str) -> Column:
+        same = [(F.col(f"{x}m{i}") == F.col(f"{y}m{i}")).cast("int") for i in range(n)]
+        return sum(same[1:], same[0]) >= least
+
+    return could
 
 
-def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, similarity: float = 0.8) -> DataFrame:
     """docs with `text` without its repeated lines, and columns n_lines and n_removed (long).
 
     Lines are split at line feeds. Lines link where the Jaccard similarity of their sets of
@@ -64,13 +80,15 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     lines = lines_of(docs.select("doc_id", "text"))
     place = F.struct("doc_id", "pos", "th")
     first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    members = save(signatures(lines, width, bands, rows))
-    shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    members = save(members.join(shared, "key", "left_semi"))
+    minima = save(signatures(lines, width, bands * rows))
+    keys = banded(minima, bands, rows)
+    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    members = save(keys.join(shared, "key", "left_semi"))
+    drop(minima)
     nodes = members.select(F.col("node").alias("h")).distinct()
     # whole lines of the candidates as sets of shingle hashes, made once
     texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value(_units("line")).alias("u"))
-    sets = save(texts.select("h", F.array_distinct(_shingles("u", width)).alias("s")).select("h", "s", F.size("s").alias("n")))
+    sets = save(_exploded(texts, width).select("h", F.xxhash64("x").alias("x")).groupBy("h").agg(F.collect_set("x").alias("s")).select("h", "s", F.size("s").alias("n")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("h").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
@@ -80,7 +98,7 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
         both = fit.join(side("a"), "a").join(side("b"), "b")
         return both.where((1 + similarity) * F.size(F.array_intersect("sa", "sb")) >= similarity * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    labels = link_buckets(members, verify)
+    labels = link_buckets(members, verify, _agree(bands * rows, agree))
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))
