@@ -321,6 +321,10 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def joined(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -329,5 +333,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     out = find(docs, fit(docs))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(F.encode(joined("base_spans"), "utf-8"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -109,6 +109,17 @@ def test_pii(spark, edges, empty):
         assert base == naive(r.text or "") and set(base) <= {tuple(s) for s in r.spans}
 
 
+def test_pii_query(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = pii.op2_pii(spark, DIR).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = naive(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        own = [s.split(":") for s in r.spans.split(",") if s]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in own) for k in pii.KINDS)
+
+
 # --- language ----------------------------------------------------------------------------------
 
 
