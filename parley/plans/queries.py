@@ -96,17 +96,18 @@ def outcome(x):
 DROP_OFF = f", {ALL_TURNS}, drops as (select conv_id, max(i) as drop_off_turn from rows_ where role = 'user' group by conv_id)"
 
 
-@query(f"{DROP_OFF} select conversation_id, case when not converted then drop_off_turn end as drop_off_turn from convs left join drops using (conv_id)", "convs")
+@query(f"{DROP_OFF} select conversation_id, cast(case when not converted then drop_off_turn end as double) as drop_off_turn from convs left join drops using (conv_id)", "convs")
 def drop_off_turn(x):
-    return x.parsed.withColumn("outcome", ingest.outcome()).select("conversation_id", ingest.drop_off_turn().cast("long").alias("drop_off_turn"))
+    return x.parsed.withColumn("outcome", ingest.outcome()).select("conversation_id", ingest.drop_off_turn().cast("double").alias("drop_off_turn"))
 
 
 @query(
-    f"{DROP_OFF} select conversation_id, outcome, turn_count, user_turn_count, case when not converted then drop_off_turn end as drop_off_turn, outcome = 'human-closed' as intervention_flag, is_ai as is_ai_conversation, platform, {CREATED} as created, converted, outcome = 'closed' as ai_closed from convs left join drops using (conv_id) where is_ai",
+    f"{DROP_OFF} select conversation_id, outcome, turn_count, user_turn_count, cast(case when not converted then drop_off_turn end as double) as drop_off_turn, outcome = 'human-closed' as intervention_flag, is_ai as is_ai_conversation, platform, {CREATED} as created, converted, outcome = 'closed' as ai_closed from convs left join drops using (conv_id) where is_ai",
     "convs",
 )
 def conversations(x):
-    return ingest.conversations(x.parsed).withColumns({c: F.col(c).cast("long") for c in ("turn_count", "user_turn_count", "drop_off_turn")})
+    out = ingest.conversations(x.parsed).withColumns({c: F.col(c).cast("long") for c in ("turn_count", "user_turn_count")})
+    return out.withColumn("drop_off_turn", F.col("drop_off_turn").cast("double"))  # so that nulls compare alike
 
 
 @query("select cast(conv_id as varchar) as conversation_id, platform from convs where conv_id % 2 = 1", "convs")
