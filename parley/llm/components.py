@@ -42,36 +42,40 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = nxt
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: int = 3, prefer: tuple[str, ...] = ()) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: int = 3, prefer: tuple[str, ...] = (), last: tuple[Callable[[str, str], F.Column], ...] | None = None) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
     verify: gets distinct pairs (a, b) and returns those that are links.
     could: a condition on columns prefixed x_ and y_ of the two members that true links pass.
     prefer: columns of which a low value lets a member pass `could` more often.
+    last: conditions of as many last steps, which together let pass what `could` does.
 
     In each round every bucket names one member, and every node is verified against one of those
     named by its buckets, from the second round on against eight, so that a group of copies costs its size and not the square of it.
-    Only buckets whose nodes are still in different components go on. In the last step every
+    Only buckets whose nodes are still in different components go on. In the last steps every
     pair of nodes of different components in a bucket is verified, so no link that could join
-    two components is left out.
+    two components is left out; where there are several, the likely links come first, and the
+    components they join make fewer pairs of the rest.
     """
     extra = [c for c in members.columns if c not in ("key", "node")]
     labelled, links, tested, labels = members.withColumn("label", F.col("node")), None, None, None
-    for step in range(rounds + 1):
+    last = last or (could,)
+    for step in range(rounds + len(last)):
         if step:
             mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
             labelled = save(labelled.join(mixed, "key", "left_semi"))
         x = labelled.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", *extra)])
-        if step == rounds:
+        if step >= rounds:
             y = labelled.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", *extra)])
         else:
             turn = F.col("node") if not step else F.struct(*prefer, F.xxhash64("node", "key", F.lit(step)))
             y = labelled.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "label", *extra)).alias("y"))
             y = y.select("key", F.col("y.turn").alias("turn"), *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
-        both = x.join(y, "key").where(F.col("x_label") < F.col("y_label") if step == rounds else F.col("x_label") != F.col("y_label"))
-        if could is not None:
-            both = both.where(could("x_", "y_"))
+        both = x.join(y, "key").where(F.col("x_label") < F.col("y_label") if step >= rounds else F.col("x_label") != F.col("y_label"))
+        passes = could if step < rounds else last[step - rounds]
+        if passes is not None:
+            both = both.where(passes("x_", "y_"))
         if step < rounds:
             # a node of a loosely knit group is tried against a few, whose components then merge
             own = Window.partitionBy("x_node").orderBy("turn", "y_node")
@@ -86,6 +90,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         if labels is not None and found.isEmpty():
             continue  # nothing new has merged
         labels = components(links)
-        if step < rounds:
+        if step < rounds + len(last) - 1:
             labelled = save(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
     return labels

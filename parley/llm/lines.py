@@ -9,6 +9,8 @@ and of each component the first line of the smallest doc_id stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ SHINGLE, BANDS, ROWS = 8, 9, 3
 #: Of the 27 minima so many must be equal before two lines are compared in full: a pair at 0.8 has
 #: fewer with probability 0.001.
 AGREE = 15
+#: Of lines still apart after the first rounds, pairs with so many equal minima are compared before the others.
+LEVELS = (21,)
 
 
 def _units(line: str) -> Column:
@@ -50,19 +54,43 @@ def signatures(lines: DataFrame, width: int, n: int) -> DataFrame:
 
 
 def banded(minima: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, node, minima): a hash of each band's minima."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return minima.select(F.explode(keys).alias("key"), *minima.columns)
+    """(band, key, node, p0.., k0..): each band's number and 64-bit hash; then of all minima their
+    last bytes, seven in a p, and 32-bit hashes of all bands."""
+    of = lambda b: [f"m{b * rows + r}" for r in range(rows)]
+    byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * (i % 7))
+    n = bands * rows
+    packed = [reduce(Column.bitwiseOR, map(byte, range(i, min(i + 7, n)))).alias(f"p{i // 7}") for i in range(0, n, 7)]
+    short = [F.hash(F.lit(b), *of(b)).alias(f"k{b}") for b in range(bands)]
+    keys = F.array(*[F.xxhash64(F.lit(b), *of(b)) for b in range(bands)])
+    return minima.select(F.posexplode(keys).alias("band", "key"), "node", *packed, *short)
+
+
+def _unequal(x: str, y: str, n: int) -> Column:
+    """How many of n packed bytes differ: seven at a time, 128 is set in each byte that is not zero."""
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+    diff = [F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}")) for i in range(-(-n // 7))]
+    counts = [F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)) for d in diff]
+    return sum(counts[1:], counts[0])
 
 
 def _agree(n: int, least: int):
-    """At least so many of the n minima are equal."""
+    """At least `least` of the n minima are equal (in their last bytes)."""
+    return lambda x, y: _unequal(x, y, n) <= n - least
+
+
+def _levels(bands: int, rows: int, agree: int):
+    """Pairs of `agree` equal minima or more, parted by LEVELS, each in the first band that its lines share."""
+    n = bands * rows
+
+    def level(least: int, most: int):
+        def could(x: str, y: str) -> Column:
+            first = F.coalesce(*[F.when(F.col(f"{x}k{b}") == F.col(f"{y}k{b}"), F.lit(b)) for b in range(bands)])
+            return _unequal(x, y, n).between(n - most, n - least) & (F.col(f"{x}band") == first)
 
-    def could(x: str, y: str) -> Column:
-        same = [(F.col(f"{x}m{i}") == F.col(f"{y}m{i}")).cast("int") for i in range(n)]
-        return sum(same[1:], same[0]) >= least
+        return could
 
-    return could
+    edges = [n + 1, *[x for x in LEVELS if agree < x <= n], agree]
+    return tuple(level(low, high - 1) for high, low in zip(edges[:-1], edges[1:], strict=True))
 
 
 def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, similarity: float = 0.8) -> DataFrame:
@@ -98,7 +126,7 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
         both = fit.join(side("a"), "a").join(side("b"), "b")
         return both.where((1 + similarity) * F.size(F.array_intersect("sa", "sb")) >= similarity * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    labels = link_buckets(members, verify, _agree(bands * rows, agree))
+    labels = link_buckets(members, verify, _agree(bands * rows, agree), rounds=2, last=_levels(bands, rows, agree))
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))
