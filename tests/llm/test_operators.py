@@ -195,9 +195,9 @@ def test_chat_table(spark):
 # --- lines -------------------------------------------------------------------------------------
 
 
-def brute_lines(docs, width=8):
-    occ = [(d, p, x) for d, t in docs for p, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
-    names = sorted({x for _, _, x in occ})
+def brute_line_classes(docs, width=8):
+    """A name of its component for every line that is not blank."""
+    names = sorted({x for _, t in docs for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)})
     sets = [{x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in names]
     parent = {x: x for x in names}
 
@@ -211,11 +211,16 @@ def brute_lines(docs, width=8):
             both = len(a & sets[j])
             if both and both >= 0.8 * (len(a) + len(sets[j]) - both):
                 parent[find(names[i])] = find(names[j])
-    seen, gone = set(), {}
+    return {x: find(x) for x in names}
+
+
+def brute_lines(docs, width=8):
+    occ = [(d, p, x) for d, t in docs for p, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    classes, seen, gone = brute_line_classes(docs, width), set(), {}
     for d, _, x in sorted(occ, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
-        if find(x) in seen:
+        if classes[x] in seen:
             gone[d] = gone.get(d, 0) + 1
-        seen.add(find(x))
+        seen.add(classes[x])
     return gone
 
 
