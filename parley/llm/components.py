@@ -42,26 +42,45 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = nxt
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: int = 3, prefer: tuple[str, ...] = (), last: tuple[Callable[[str, str], F.Column], ...] | None = None) -> DataFrame:
+#: In the last step the members of a bucket are compared by so many at a time with all others.
+SLICE = 256
+
+
+def _whole_buckets(labelled: DataFrame, sketches: DataFrame, could: Callable[[str, str], F.Column]) -> DataFrame:
+    """(a, b): of all pairs of a bucket in different components those that pass `could`, tested
+    inside the join, so that no other pair leaves it. Large buckets are dealt by slices."""
+    sizes = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_c")).where("_l < _h")
+    full = labelled.join(sizes.select("key", F.ceil(F.col("_c") / SLICE).cast("int").alias("_c")), "key").join(sketches, "node")
+    named = lambda x, at: full.select("key", at.alias("_slice"), *[F.col(c).alias(f"{x}{c}") for c in full.columns if c not in ("key", "_c")])
+    x = named("x_", F.pmod(F.xxhash64("node", F.lit(1)), "_c").cast("int"))
+    y = named("y_", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    both = x.join(y, ["key", "_slice"]).where((F.col("x_label") < F.col("y_label")) & could("x_", "y_"))
+    return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: int = 3, prefer: tuple[str, ...] = (), whole: tuple | None = None) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
     verify: gets distinct pairs (a, b) and returns those that are links.
     could: a condition on columns prefixed x_ and y_ of the two members that true links pass.
     prefer: columns of which a low value lets a member pass `could` more often.
-    last: conditions of as many last steps, which together let pass what `could` does.
+    whole: (sketches, could): a table by node, and what `could` is in the last step, where it
+    may also read the columns of that table.
 
     In each round every bucket names one member, and every node is verified against one of those
     named by its buckets, from the second round on against eight, so that a group of copies costs its size and not the square of it.
-    Only buckets whose nodes are still in different components go on. In the last steps every
+    Only buckets whose nodes are still in different components go on. In the last step every
     pair of nodes of different components in a bucket is verified, so no link that could join
-    two components is left out; where there are several, the likely links come first, and the
-    components they join make fewer pairs of the rest.
+    two components is left out.
     """
     extra = [c for c in members.columns if c not in ("key", "node")]
     labelled, links, tested, labels = members.withColumn("label", F.col("node")), None, None, None
-    last = last or (could,)
-    for step in range(rounds + len(last)):
+    for step in range(rounds + 1):
+        if step == rounds and whole is not None:
+            found = save(verify(save(_whole_buckets(labelled, *whole))))
+            links = found if links is None else links.unionByName(found)
+            return components(links) if labels is None or not found.isEmpty() else labels
         if step:
             mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
             labelled = save(labelled.join(mixed, "key", "left_semi"))
@@ -73,9 +92,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
             y = labelled.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "label", *extra)).alias("y"))
             y = y.select("key", F.col("y.turn").alias("turn"), *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
         both = x.join(y, "key").where(F.col("x_label") < F.col("y_label") if step >= rounds else F.col("x_label") != F.col("y_label"))
-        passes = could if step < rounds else last[step - rounds]
-        if passes is not None:
-            both = both.where(passes("x_", "y_"))
+        if could is not None:
+            both = both.where(could("x_", "y_"))
         if step < rounds:
             # a node of a loosely knit group is tried against a few, whose components then merge
             own = Window.partitionBy("x_node").orderBy("turn", "y_node")
@@ -90,6 +108,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         if labels is not None and found.isEmpty():
             continue  # nothing new has merged
         labels = components(links)
-        if step < rounds + len(last) - 1:
+        if step < rounds:
             labelled = save(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
     return labels

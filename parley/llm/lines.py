@@ -23,8 +23,8 @@ SHINGLE, BANDS, ROWS = 8, 9, 3
 #: Of the 27 minima so many must be equal before two lines are compared in full: a pair at 0.8 has
 #: fewer with probability 0.001.
 AGREE = 15
-#: Of lines still apart after the first rounds, pairs with so many equal minima are compared before the others.
-LEVELS = (21,)
+#: Longs of a parity sketch: bit i is the parity of the number of shingles hashed to i.
+LONGS = 16
 
 
 def _units(line: str) -> Column:
@@ -78,19 +78,36 @@ def _agree(n: int, least: int):
     return lambda x, y: _unequal(x, y, n) <= n - least
 
 
-def _levels(bands: int, rows: int, agree: int):
-    """Pairs of `agree` equal minima or more, parted by LEVELS, each in the first band that its lines share."""
-    n = bands * rows
+def sketched(sets: DataFrame) -> DataFrame:
+    """(node, n, q0, ...): the parity sketch of each set. Two sketches differ in no more bits than
+    their sets in elements."""
+    bits = "shiftleft(1L, cast(x & 63 as int))"
+    longs = [F.expr(f"bit_xor(if((shiftright(x, 6) & {LONGS - 1}) = {i}, {bits}, 0L))").alias(f"q{i}") for i in range(LONGS)]
+    return sets.select("node", "n", F.explode("s").alias("x")).groupBy("node", "n").agg(*longs)
+
+
+def _first(bands: int, rows: int, agree: int, similarity: float):
+    """As _agree, and the bucket is that of the first band that the two share, so that a pair is
+    compared once, and the sketches do not show that the sets differ in too many elements."""
+
+    def could(x: str, y: str) -> Column:
+        first = F.coalesce(*[F.when(F.col(f"{x}k{b}") == F.col(f"{y}k{b}"), F.lit(b)) for b in range(bands)])
+        differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}q{i}").bitwiseXOR(F.col(f"{y}q{i}"))) for i in range(LONGS)])
+        few = (1 + similarity) * differ <= (1 - similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) + 1e-6
+        return (_unequal(x, y, bands * rows) <= bands * rows - agree) & few & (F.col(f"{x}band") == first)
 
-    def level(least: int, most: int):
-        def could(x: str, y: str) -> Column:
-            first = F.coalesce(*[F.when(F.col(f"{x}k{b}") == F.col(f"{y}k{b}"), F.lit(b)) for b in range(bands)])
-            return _unequal(x, y, n).between(n - most, n - least) & (F.col(f"{x}band") == first)
+    return could
 
-        return could
 
-    edges = [n + 1, *[x for x in LEVELS if agree < x <= n], agree]
-    return tuple(level(low, high - 1) for high, low in zip(edges[:-1], edges[1:], strict=True))
+def _alike(similarity: float):
+    """The exact Jaccard similarity of sets s of n elements; the smaller cannot be under the threshold's share of the larger."""
+
+    def links(x: str, y: str) -> Column:
+        s, n, t, m = (F.col(c) for c in (f"{x}s", f"{x}n", f"{y}s", f"{y}n"))
+        fit = F.least(n, m) >= similarity * F.greatest(n, m)
+        return F.when(fit, (1 + similarity) * F.size(F.array_intersect(s, t)) >= similarity * (n + m)).otherwise(False)
+
+    return links
 
 
 def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, similarity: float = 0.8) -> DataFrame:
@@ -116,17 +133,15 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     nodes = members.select(F.col("node").alias("h")).distinct()
     # whole lines of the candidates as sets of shingle hashes, made once
     texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value(_units("line")).alias("u"))
-    sets = save(_exploded(texts, width).select("h", F.xxhash64("x").alias("x")).groupBy("h").agg(F.collect_set("x").alias("s")).select("h", "s", F.size("s").alias("n")))
+    sets = save(_exploded(texts, width).select("h", F.xxhash64("x").alias("x")).groupBy("h").agg(F.collect_set("x").alias("s")).select(F.col("h").alias("node"), "s", F.size("s").alias("n")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("h").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-        sizes = lambda x: sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"))
-        # the smaller set cannot be under the threshold's share of the larger
-        fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-        both = fit.join(side("a"), "a").join(side("b"), "b")
-        return both.where((1 + similarity) * F.size(F.array_intersect("sa", "sb")) >= similarity * (F.col("na") + F.col("nb"))).select("a", "b")
-
-    labels = link_buckets(members, verify, _agree(bands * rows, agree), rounds=2, last=_levels(bands, rows, agree))
+        side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "s", "n")])
+        both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+        return both.where(_alike(similarity)("a_", "b_")).select("a", "b")
+
+    sketches = save(sketched(sets))
+    labels = link_buckets(members, verify, _agree(bands * rows, agree), rounds=2, whole=(sketches, _first(bands, rows, agree, similarity)))
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))

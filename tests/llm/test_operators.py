@@ -288,3 +288,15 @@ def test_embeddings_sql(spark):
     con.sql(f"create view embeddings as select * from '{DIR}/embeddings.parquet'")
     assert sorted(con.sql(embeddings.SQL).fetchall()) == sorted(map(tuple, embeddings.op10_embeddings(spark, DIR).collect()))
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_sketches_bound_differences(spark):
+    rng = random.Random(4)
+    sets = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.randint(1, 900))] for _ in range(6)]
+    sets += [s[5:] + [rng.randrange(2**63)] for s in sets]
+    rows = {r.node: r for r in lines.sketched(spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(sets)], "node long, s array<long>, n int")).collect() if r.n}
+    bits = {i: sum((r[f"q{k}"] % 2**64) << 64 * k for k in range(lines.LONGS)) for i, r in rows.items()}
+    for i in bits:
+        for j in bits:
+            apart = len(set(sets[i]) ^ set(sets[j]))
+            assert (bits[i] ^ bits[j]).bit_count() <= apart and (apart > 10 or (bits[i] ^ bits[j]).bit_count() >= apart - 2)
