@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from .common import drop, load, prepare, save
 from .components import link_buckets
 
-#: Characters of a shingle. At a similarity of 0.8 two lines share a band with probability
-#: 1 - (1 - 0.8**3)**9 = 0.998.
-SHINGLE, BANDS, ROWS = 8, 9, 3
-#: Of the 27 minima so many must be equal before two lines are compared in full: a pair at 0.8 has
+#: Characters of a shingle: short ones, so that a line of 39 characters or more still links after a
+#: change of one. Unlike lines share some of them, hence the five rows. At a similarity of 0.8 two
+#: lines share a band with probability 1 - (1 - 0.8**5)**16 = 0.998.
+SHINGLE, BANDS, ROWS = 4, 16, 5
+#: Of the 80 minima so many must be equal before two lines are compared in full: a pair at 0.8 has
 #: fewer with probability 0.001.
-AGREE = 15
+AGREE = 52
 #: Longs of a parity sketch: bit i is the parity of the number of shingles hashed to i.
 LONGS = 16
 
@@ -54,15 +55,19 @@ def signatures(lines: DataFrame, width: int, n: int) -> DataFrame:
 
 
 def banded(minima: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, key, node, p0.., k0..): each band's number and 64-bit hash; then of all minima their
-    last bytes, seven in a p, and 32-bit hashes of all bands."""
+    """(band, key, node): each band's number and 64-bit hash."""
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    return minima.select(F.posexplode(keys).alias("band", "key"), "node")
+
+
+def packed(minima: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(node, p0.., k0..): of all minima their last bytes, seven in a p, and 32-bit hashes of all bands."""
     of = lambda b: [f"m{b * rows + r}" for r in range(rows)]
     byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * (i % 7))
     n = bands * rows
-    packed = [reduce(Column.bitwiseOR, map(byte, range(i, min(i + 7, n)))).alias(f"p{i // 7}") for i in range(0, n, 7)]
+    last = [reduce(Column.bitwiseOR, map(byte, range(i, min(i + 7, n)))).alias(f"p{i // 7}") for i in range(0, n, 7)]
     short = [F.hash(F.lit(b), *of(b)).alias(f"k{b}") for b in range(bands)]
-    keys = F.array(*[F.xxhash64(F.lit(b), *of(b)) for b in range(bands)])
-    return minima.select(F.posexplode(keys).alias("band", "key"), "node", *packed, *short)
+    return minima.select("node", *last, *short)
 
 
 def _unequal(x: str, y: str, n: int) -> Column:
@@ -128,8 +133,9 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     minima = save(signatures(lines, width, bands * rows))
     keys = banded(minima, bands, rows)
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    members = save(keys.join(shared, "key", "left_semi"))
-    drop(minima)
+    buckets = save(keys.join(shared, "key", "left_semi"))
+    members = save(buckets.join(packed(minima, bands, rows), "node"))
+    drop(minima, buckets)
     nodes = members.select(F.col("node").alias("h")).distinct()
     # whole lines of the candidates as sets of shingle hashes, made once
     texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value(_units("line")).alias("u"))
