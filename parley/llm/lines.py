@@ -1,8 +1,8 @@
 """Operator 9: fuzzy line dedup by MinHash, in DataFrame operations only.
 
 Equal lines are one node, named by a 64-bit hash. Each node's character shingles are exploded,
-hashed once, and aggregated to BANDS * ROWS minima: xor with a constant reorders the hashes, so
-one hash gives all permutations. Lines that share a band's minima are candidates; their exact
+hashed once, and aggregated to BANDS * ROWS minima: a multiplication and an addition modulo 2**32
+reorder the hashes for each. Lines that share a band's minima are candidates; their exact
 Jaccard similarity is taken over whole lines; linked lines are merged by distributed union-find,
 and of each component the first line of the smallest doc_id stays.
 """
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, load, prepare, save
+from .common import drop, load, mix, prepare, save
 from .components import link_buckets
 
 #: Characters of a shingle: short ones, so that a line of 39 characters or more still links after a
@@ -46,11 +47,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def orders(n: int) -> list[tuple[int, int]]:
+    """Odd factors under 2**31 and addends under 2**32, drawn from a fixed sequence."""
+    drawn = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
+    return [(int(a >> np.uint64(33)) | 1, int(c >> np.uint64(32))) for a, c in zip(drawn[:n], drawn[n:], strict=True)]
+
+
 def signatures(lines: DataFrame, width: int, n: int) -> DataFrame:
     """(node, m0, m1, ...): n minima of every distinct line's shingle hashes."""
-    hashed = _exploded(lines.select("h", _units("line").alias("u")), width).select("h", F.hash("x").alias("x"))
-    seeds = [((i * 2654435769 + 40503) % (1 << 32)) - (1 << 31) for i in range(n)]
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(s).cast("int"))).alias(f"m{i}") for i, s in enumerate(seeds)]
+    hashed = _exploded(lines.select("h", _units("line").alias("u")), width).select("h", F.hash("x").cast("long").alias("x"))
+    minima = [F.min(F.expr(f"cast(((x * {a}L + {c}L) & 4294967295L) - 2147483648L as int)")).alias(f"m{i}") for i, (a, c) in enumerate(orders(n))]
     return hashed.groupBy("h").agg(*minima).withColumnRenamed("h", "node")
 
 

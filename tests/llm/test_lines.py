@@ -40,3 +40,21 @@ def test_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
     want = brute_lines(docs, WIDTH)
     assert {r.doc_id: r.n_removed for r in lines.op9_line_dedup(spark, DIR).collect() if r.n_removed} == want
+
+
+def test_minima_independent(spark):
+    """Two sets with 4 of 5 shingles in common agree in the bands and minima as independent orders would."""
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(3000):
+        x = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(7))
+        pairs.append((x, x + "."))
+    rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    got = lines.signatures(spark.createDataFrame(rows, "h long, line string"), WIDTH, lines.BANDS * lines.ROWS).collect()
+    of = {r.node: tuple(r)[1:] for r in got}
+    lost = 0
+    for i in range(len(pairs)):
+        same = [a == b for a, b in zip(of[2 * i], of[2 * i + 1], strict=True)]
+        band = any(all(same[b * lines.ROWS : (b + 1) * lines.ROWS]) for b in range(lines.BANDS))
+        lost += not band or sum(same) < lines.AGREE
+    assert lost < 0.006 * len(pairs)
