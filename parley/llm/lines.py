@@ -9,6 +9,7 @@ and of each component the first line of the smallest doc_id stays.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -101,22 +102,27 @@ def _first(bands: int, rows: int, agree: int, similarity: float):
     """As _agree, and the bucket is that of the first band that the two share, so that a pair is
     compared once, and the sketches do not show that the sets differ in too many elements."""
 
+    num, den = Fraction(str(similarity)).as_integer_ratio()
+
     def could(x: str, y: str) -> Column:
         first = F.coalesce(*[F.when(F.col(f"{x}k{b}") == F.col(f"{y}k{b}"), F.lit(b)) for b in range(bands)])
         differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}q{i}").bitwiseXOR(F.col(f"{y}q{i}"))) for i in range(LONGS)])
-        few = (1 + similarity) * differ <= (1 - similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) + 1e-6
+        few = (den + num) * differ.cast("long") <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n")).cast("long")
         return (_unequal(x, y, bands * rows) <= bands * rows - agree) & few & (F.col(f"{x}band") == first)
 
     return could
 
 
 def _alike(similarity: float):
-    """The exact Jaccard similarity of sets s of n elements; the smaller cannot be under the threshold's share of the larger."""
+    """The exact Jaccard similarity of sets s of n elements, in whole numbers; the smaller cannot be
+    under the threshold's share of the larger."""
+    num, den = Fraction(str(similarity)).as_integer_ratio()
 
     def links(x: str, y: str) -> Column:
-        s, n, t, m = (F.col(c) for c in (f"{x}s", f"{x}n", f"{y}s", f"{y}n"))
-        fit = F.least(n, m) >= similarity * F.greatest(n, m)
-        return F.when(fit, (1 + similarity) * F.size(F.array_intersect(s, t)) >= similarity * (n + m)).otherwise(False)
+        s, t = F.col(f"{x}s"), F.col(f"{y}s")
+        n, m = F.col(f"{x}n").cast("long"), F.col(f"{y}n").cast("long")
+        fit = den * F.least(n, m) >= num * F.greatest(n, m)
+        return F.when(fit, (den + num) * F.size(F.array_intersect(s, t)).cast("long") >= num * (n + m)).otherwise(False)
 
     return links
 

@@ -58,3 +58,14 @@ def test_minima_independent(spark):
         band = any(all(same[b * lines.ROWS : (b + 1) * lines.ROWS]) for b in range(lines.BANDS))
         lost += not band or sum(same) < lines.AGREE
     assert lost < 0.006 * len(pairs)
+
+
+def test_similarity_of_exactly_the_threshold(spark):
+    """Sets of 4k + i and 4k + k - i elements, 4k in common: 0.8, and with one element more under it."""
+    rows = []
+    for k in (7, 14, 23, 28, 100):
+        a, both = k // 2, range(4 * k)
+        x, y = [*both, *range(1000, 1000 + a)], [*both, *range(2000, 2000 + k - a)]
+        rows += [(k, True, x, len(x), y, len(y)), (k, False, x, len(x), [*y, 5000], len(y) + 1)]
+    df = spark.createDataFrame(rows, "k int, want boolean, a_s array<long>, a_n int, b_s array<long>, b_n int")
+    assert all(r.want == r.got for r in df.select("k", "want", lines._alike(0.8)("a_", "b_").alias("got")).collect())
