@@ -1,8 +1,8 @@
 """Operator 4: document fingerprints by consistent weighted sampling.
 
 A term is a pair of neighbouring words, hashed to one of TERMS numbers and weighted by its
-count. For each sample and term, r and c are Gamma(2, 1) and beta is uniform, all from the
-term's number; with t = floor(ln w / r + beta) and y = exp(r (t - beta)) the sample is the
+count. For each sample and term, r and c are Gamma(2, 1) and beta is uniform, all from a hash of
+both; with t = floor(ln w / r + beta) and y = exp(r (t - beta)) the sample is the
 (term, t) of least c / (y e^r). Two texts have the same sample with the probability of their
 generalised Jaccard similarity, sum of minima over sum of maxima of the weights.
 """
@@ -16,65 +16,97 @@ from pyspark.sql import functions as F
 
 from .common import _ODD, chunks, load, mix, parts, prepare, utf8, words
 
-#: Samples of a fingerprint, and numbers of terms (a fixed table of 3 floats for each of both).
-SAMPLES, TERMS = 64, 1 << 17
-_tables: dict[str, np.ndarray] = {}
-
-
-def tables():
-    """r, ln c and beta of each term and sample, and the score of weight 1; 130 MB a worker."""
-    if not _tables:
-        rng = np.random.Generator(np.random.PCG64(20))
-        shape = (TERMS, SAMPLES)
-        for name in ("r", "c"):
-            u = rng.random(shape, np.float32)
-            u *= rng.random(shape, np.float32)
-            _tables[name] = -np.log(np.maximum(u, np.float32(1e-30)))
-        np.log(np.maximum(_tables["c"], np.float32(1e-30)), out=_tables["c"])
-        _tables["beta"] = rng.random(shape, np.float32)
-        _tables["one"] = _tables["c"] - _tables["r"] * (1 - _tables["beta"])
-    return _tables
-
-
-def signature(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """16 bits of each sample of one text; zeros for a text without terms."""
-    t = tables()
+#: Samples of a fingerprint, and numbers of terms: so many that different terms of even the longest
+#: texts do not meet.
+SAMPLES, TERMS = 64, 1 << 62
+#: Terms whose draws are made at a time; bytes of text whose terms share a table of draws, and the
+#: most terms of such a table (1 KB each).
+STEP, SHARE, TABLE = 512, 1 << 18, 1 << 16
+#: For each of four draws and each sample, the factors of a term's halves and an addend.
+_LOW, _HIGH, _PLUS = mix(np.arange(1, 12 * SAMPLES + 1, dtype=np.uint64)).astype(np.uint32).reshape(3, 4, 1, SAMPLES) | np.uint32(1)
+
+
+def draws(terms: np.ndarray):
+    """r, ln c and beta (float32) of each term and sample. Uniform numbers are the upper 24 bits
+    of hashes of 32; beta has the lower bytes of two."""
+    low, high = terms.astype(np.uint32)[:, None], (terms >> 32).astype(np.uint32)[:, None]
+    uniform, bits = [], []
+    for j in range(4):
+        x = low * _LOW[j]
+        x += high * _HIGH[j]
+        x += _PLUS[j]
+        for factor, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):  # the finaliser of MurmurHash3
+            x ^= x >> np.uint32(shift)
+            x *= np.uint32(factor)
+        x ^= x >> np.uint32(16)
+        bits.append(x)
+        u = (x >> np.uint32(8)).astype(np.float32)
+        u += np.float32(1)
+        u *= np.float32(2**-24)
+        uniform.append(u)
+    r, c = (-np.log(uniform[j] * uniform[j + 1]) for j in (0, 2))
+    beta = ((bits[0] & np.uint32(255)) << np.uint32(8) | bits[1] & np.uint32(255)).astype(np.float32) * np.float32(2**-16)
+    r, c = np.maximum(r, np.float32(1e-30)), np.log(np.maximum(c, np.float32(1e-30)))
+    return r, c, beta
+
+
+def scores(terms: np.ndarray):
+    """r, ln c, beta and the score of weight 1 of each term and sample."""
+    out = [np.empty((len(terms), SAMPLES), np.float32) for _ in range(4)]
+    for at in range(0, len(terms), STEP):
+        r, c, beta = draws(terms[at : at + STEP])
+        for whole, part in zip(out, (r, c, beta, c - r * (1 - beta)), strict=True):
+            whole[at : at + STEP] = part
+    return out
+
+
+def signature(terms: np.ndarray, counts: np.ndarray, table=None, rows: np.ndarray | None = None) -> np.ndarray:
+    """16 bits of each sample of one text; zeros for a text without terms. The terms' scores are
+    those rows of the table, or are made here piece by piece."""
     if not len(terms):
         return np.zeros(SAMPLES, "<u2")
     best, level = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
     term = np.zeros(SAMPLES, np.int64)
     every = np.arange(SAMPLES)
-    once, often = terms[counts == 1], terms[counts > 1]
-    for at in range(0, len(once), 2048):
-        score = t["one"][once[at : at + 2048]]
-        i = score.argmin(axis=0)
-        least = score[i, every]
-        new = least < best
-        best, term = np.where(new, least, best), np.where(new, once[at : at + 2048][i], term)
-    ln = np.log(counts[counts > 1]).astype(np.float32)[:, None]
-    for at in range(0, len(often), 2048):
-        own = often[at : at + 2048]
-        r, beta = t["r"][own], t["beta"][own]
-        k = np.floor(ln[at : at + 2048] / r + beta)
-        score = t["c"][own] - r * (k - beta + 1)
-        i = score.argmin(axis=0)
-        least = score[i, every]
-        new = least < best
-        best, term, level = np.where(new, least, best), np.where(new, own[i], term), np.where(new, k[i, every].astype(np.int64), level)
-    return (mix((term << 20 ^ level).astype(np.uint64)) >> np.uint64(48)).astype("<u2")
+    often = counts > 1
+    ln = np.log(counts[often]).astype(np.float32)[:, None]
+    step = STEP if table is None else 4 * STEP
+    for mine, weighted in ((np.flatnonzero(~often), False), (np.flatnonzero(often), True)):
+        for at in range(0, len(mine), step):
+            own = mine[at : at + step]
+            if table is None:
+                r, c, beta, score = scores(terms[own])
+            elif weighted:
+                r, c, beta = (x[rows[own]] for x in table[:3])
+            else:
+                score = table[3][rows[own]]
+            if weighted:
+                k = np.floor(ln[at : at + step] / r + beta)
+                score = c - r * (k - beta + 1)
+            i = score.argmin(axis=0)
+            least = score[i, every]
+            new = least < best
+            best, term = np.where(new, least, best), np.where(new, terms[own][i], term)
+            level = np.where(new, k[i, every].astype(np.int64) if weighted else 0, level)
+    return (mix(mix(term.astype(np.uint64)) + level.astype(np.uint64)) >> np.uint64(48)).astype("<u2")
 
 
 def signatures(texts: list[str]) -> list[np.ndarray]:
     data, offsets = utf8(pa.array(texts, pa.large_string()))
     out = []
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, SHARE):
         off = offsets[lo : hi + 1] - offsets[lo]
         _, _, rows, hashes = words(data[offsets[lo] : offsets[hi]], off)
         cut = np.searchsorted(rows, np.arange(hi - lo + 1)).tolist()
-        pair = (mix(hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(64 - 17)).astype(np.int64) if len(hashes) else np.zeros(0, np.int64)
-        alone = (mix(hashes) >> np.uint64(64 - 17)).astype(np.int64)
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            out.append(signature(*np.unique(pair[a : b - 1] if b - a > 1 else alone[a:b], return_counts=True)))
+        pair = (mix(hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(64 - 62)).astype(np.int64) if len(hashes) else np.zeros(0, np.int64)
+        alone = (mix(hashes) >> np.uint64(64 - 62)).astype(np.int64)
+        own = [np.unique(pair[a : b - 1] if b - a > 1 else alone[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        known = np.unique(np.concatenate([t for t, _ in own])) if hi - lo > 1 else ()
+        if hi - lo > 1 and len(known) <= TABLE:
+            table = scores(known)
+            out += [signature(t, n, table, np.searchsorted(known, t)) for t, n in own]
+        else:
+            out += [signature(t, n) for t, n in own]
     return out
 
 
@@ -142,19 +174,27 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), [t or "" for t in b.column(3).to_pylist()], strict=True))
-                own = signatures([r[3] for r in rows])
-                pairs = []
-                for r, s in zip(rows, own, strict=True):
+                # each text is followed by the edited one, whose terms it shares
+                texts, before = [], held and (bucket, held[1])
+                for r in rows:
+                    if before is not None and r[0] == before[0]:
+                        half = len(before[1]) // 2
+                        texts.append(before[1][: len(before[1]) - half] + r[3][:half])
+                    texts.append(r[3])
+                    before = None if r[1] else (r[0], r[3])
+                each = iter(zip(texts, signatures(texts), strict=True))
+                pairs, edited, made = [], [], []
+                for r in rows:
+                    if held is not None and r[0] == bucket:
+                        text, s = next(each)
+                        edited.append(text)
+                        made.append(s)
+                    _, s = next(each)
                     if held is not None and r[0] == bucket:
                         pairs.append((held, (r[2], r[3], s)))
                     bucket, held = r[0], None if r[1] else (r[2], r[3], s)
                 if not pairs:
                     continue
-                edited = []
-                for (_, text, _), (_, nxt, _) in pairs:
-                    half = len(text) // 2
-                    edited.append(text[: len(text) - half] + nxt[:half])
-                made = signatures(edited)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x, _ in pairs], pa.int64()),
