@@ -256,7 +256,19 @@ def _of_node(found: DataFrame, width: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents whose doc_id is that of their component, all columns kept."""
+    """One row of each component, of the smallest doc_id, null last; all columns kept.
+
+    Where a doc_id has several rows, each row is a document of its own: of rows repeated in full
+    one stays, and rows of one doc_id are told apart by their texts. A text without shingles is
+    alone, so its rows all stay.
+    """
+    prepare(docs.sparkSession)
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        order = docs.orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+        rows = save(order.withColumn("_row", F.monotonically_increasing_id()))
+        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, num, den)
+        kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+        return rows.join(kept, "_row", "left_semi").select(*docs.columns)
     found = near_duplicates(docs, width, num, den)
     kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
