@@ -16,8 +16,9 @@ from .common import drop, load, prepare, save
 
 #: Words: runs of anything but these blanks (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
-#: The dynamic program fills this many words of a budget, plus at most one document.
-LAST = 4096
+#: The dynamic program fills this many words of a budget, plus at most one document; where it ends
+#: short, four times as many again and again, as long as its tables stay under so many bytes.
+LAST, ROOM = 4096, 1 << 27
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> list[float]:
@@ -40,16 +41,33 @@ def targets(sizes: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come as near `budget` from
-    below as can be: counts bounded, lengths distinct and positive."""
+    below as can be: counts bounded, lengths distinct and positive. A miss is the least possible
+    if the tables of the whole budget stay under ROOM; else it may be larger, but not than the
+    shortest document left."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    words = lambda take: sum(n * t for n, t in zip(lengths, take, strict=True))
+    best, last = _fit(lengths, counts, budget, budget, LAST), LAST
+    while words(best) < budget and last < budget:
+        last = min(4 * last, budget)
+        steps = sum(min(c, budget // n, last // n + 1).bit_length() for n, c in zip(lengths, counts, strict=True))
+        if steps * (last + max(lengths)) // 8 > ROOM:
+            break
+        # the proportional share leaves more to the dynamic program
+        best = max(best, _fit(lengths, counts, budget, budget - last, last), key=words)
+    return best
+
+
+def _fit(lengths: list[int], counts: list[int], budget: int, dealt: int, last: int) -> list[int]:
+    """fit() with `dealt` words by equal share, and the dynamic program from `last` words on."""
+    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    take = [c * dealt // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
-        if left > LAST:
-            more = min(counts[i] - take[i], max(0, (left - LAST) // lengths[i]))
+        if left > last:
+            more = min(counts[i] - take[i], max(0, (left - last) // lengths[i]))
             take[i] += more
             left -= more * lengths[i]
     # reachable sums as the bits of an integer; counts are split into powers of two
@@ -75,7 +93,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     words of each document that the mix takes, 0, 1 or 2 times its size.
 
     Sources in order of code points, null last, have the weights in turn. A source's taken words
-    are its target rounded, or the nearest sum below that whole documents can make. A null or
+    are its target rounded, or the nearest sum below that whole documents can make, as far as
+    fit() finds it. A null or
     blank text has size 0 and is never taken. Repeated rows count each for itself; which of
     them is taken is not told apart. Columns of these names that docs already has are replaced.
     An empty table gives an empty result.
