@@ -29,11 +29,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder that the session names in
-    spark.checkpoint.dir (a temporary folder only where none is set, as in tests)."""
+    """Cuts the lineage with a table in the shared folder that the session names in spark.checkpoint.dir.
+    Without one, a folder of this machine serves a local session; on a cluster it is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

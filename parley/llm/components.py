@@ -32,9 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         short = least.join(onward, "m", "left").select("hi", "m", "n", F.coalesce("mm", "m").alias("to"))
         state = short.agg(F.max("n").alias("n"), F.max((F.col("to") != F.col("m")).cast("int")).alias("moved")).first()
         if (state.n or 1) == 1 and not state.moved:
-            out = save(least.select(F.col("hi").alias("node"), F.col("m").alias("label")).unionByName(least.select(F.col("m").alias("node"), F.col("m").alias("label")).distinct()))
-            drop(least, now)
-            return out
+            drop(now)
+            return least.select(F.col("hi").alias("node"), F.col("m").alias("label")).unionByName(least.select(F.col("m").alias("node"), F.col("m").alias("label")).distinct())
         kept = short.select("hi", F.col("to").alias("lo"))
         handed = now.join(least.where("n > 1"), "hi").where("lo != m").select(F.greatest("lo", "m").alias("hi"), F.least("lo", "m").alias("lo"))
         nxt = save(kept.unionByName(handed).where("hi > lo").distinct())
@@ -46,68 +45,76 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 SLICE = 256
 
 
-def _whole_buckets(labelled: DataFrame, sketches: DataFrame, could: Callable[[str, str], F.Column]) -> DataFrame:
+def _whole_buckets(labelled: DataFrame, could: Callable[[str, str], F.Column], sketches: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """(a, b): of all pairs of a bucket in different components those that pass `could`, tested
     inside the join, so that no other pair leaves it. Large buckets are dealt by slices."""
     sizes = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_c")).where("_l < _h")
-    full = labelled.join(sizes.select("key", F.ceil(F.col("_c") / SLICE).cast("int").alias("_c")), "key").join(sketches, "node")
+    some = save(labelled.join(sizes.select("key", F.ceil(F.col("_c") / SLICE).cast("int").alias("_c")), "key"))
+    known = [save(sketches(some.select("node").distinct()))] if sketches else []
+    full = some.join(known[0], "node") if known else some
     named = lambda x, at: full.select("key", at.alias("_slice"), *[F.col(c).alias(f"{x}{c}") for c in full.columns if c not in ("key", "_c")])
     x = named("x_", F.pmod(F.xxhash64("node", F.lit(1)), "_c").cast("int"))
     y = named("y_", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
     both = x.join(y, ["key", "_slice"]).where((F.col("x_label") < F.col("y_label")) & could("x_", "y_"))
-    return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    pairs = save(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+    drop(some, *known)
+    return pairs
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column] | None = None, rounds: int = 3, prefer: tuple[str, ...] = (), whole: tuple | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2, prefer: tuple[str, ...] = ()) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
     verify: gets distinct pairs (a, b) and returns those that are links.
-    could: a condition on columns prefixed x_ and y_ of the two members that true links pass.
+    could: a condition on columns of two members, prefixed x_ and y_, that true links pass.
+    sketches: gets nodes and returns a table by node whose columns `could` reads; then it is asked
+    in the last step only.
     prefer: columns of which a low value lets a member pass `could` more often.
-    whole: (sketches, could): a table by node, and what `could` is in the last step, where it
-    may also read the columns of that table.
 
     In each round every bucket names one member, and every node is verified against one of those
-    named by its buckets, from the second round on against eight, so that a group of copies costs its size and not the square of it.
-    Only buckets whose nodes are still in different components go on. In the last step every
-    pair of nodes of different components in a bucket is verified, so no link that could join
-    two components is left out.
+    named by its buckets, from the second round on against eight, so that a group of copies costs its
+    size and not the square of it. Only buckets whose nodes are still in different components go on.
+    In the last step every pair of nodes of different components in a bucket that passes `could` is
+    verified, so no link that could join two components is left out.
     """
     extra = [c for c in members.columns if c not in ("key", "node")]
-    labelled, links, tested, labels = members.withColumn("label", F.col("node")), None, None, None
+    labelled, links, tested, labels, made = members.withColumn("label", F.col("node")), None, None, None, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(save(df))
+        return made[-1]
+
     for step in range(rounds + 1):
-        if step == rounds and whole is not None:
-            found = save(verify(save(_whole_buckets(labelled, *whole))))
-            links = found if links is None else links.unionByName(found)
-            return components(links) if labels is None or not found.isEmpty() else labels
         if step:
             mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
-            labelled = save(labelled.join(mixed, "key", "left_semi"))
-        x = labelled.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", *extra)])
-        if step >= rounds:
-            y = labelled.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", *extra)])
+            labelled = keep(labelled.join(mixed, "key", "left_semi"))
+        if step == rounds:
+            pairs = _whole_buckets(labelled, could, sketches)
+            made.append(pairs)
         else:
             turn = F.col("node") if not step else F.struct(*prefer, F.xxhash64("node", "key", F.lit(step)))
-            y = labelled.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "label", *extra)).alias("y"))
-            y = y.select("key", F.col("y.turn").alias("turn"), *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
-        both = x.join(y, "key").where(F.col("x_label") < F.col("y_label") if step >= rounds else F.col("x_label") != F.col("y_label"))
-        if could is not None:
-            both = both.where(could("x_", "y_"))
-        if step < rounds:
-            # a node of a loosely knit group is tried against a few, whose components then merge
-            own = Window.partitionBy("x_node").orderBy("turn", "y_node")
-            both = both.groupBy("x_node", "y_node").agg(F.min("turn").alias("turn")).withColumn("r", F.row_number().over(own)).where(F.col("r") <= (8 if step else 1))
-        pairs = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+            named = labelled.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "label", *extra)).alias("y"))
+            y = named.select("key", F.col("y.turn").alias("turn"), *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
+            x = labelled.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", *extra)])
+            both = x.join(y, "key").where("x_label != y_label")
+            tries = (both if sketches else both.where(could("x_", "y_"))).groupBy("x_node", "y_node").agg(F.min("turn").alias("turn"))
+            if step:
+                # a node of a loosely knit group is tried against a few, whose components then merge
+                own = Window.partitionBy("x_node").orderBy("turn", "y_node")
+                tries = tries.withColumn("r", F.row_number().over(own)).where("r <= 8")
+            else:
+                tries = tries.groupBy("x_node").agg(F.min("y_node").alias("y_node"))
+            pairs = tries.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs)
-        found = save(verify(pairs))
+        pairs = keep(pairs)
+        found = keep(verify(pairs))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if labels is not None and found.isEmpty():
             continue  # nothing new has merged
-        labels = components(links)
+        labels = keep(components(links))
         if step < rounds:
-            labelled = save(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
+            labelled = keep(labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label", *extra))
+    drop(*[df for df in made if df is not labels])
     return labels

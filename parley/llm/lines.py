@@ -1,10 +1,10 @@
 """Operator 9: fuzzy line dedup by MinHash, in DataFrame operations only.
 
-Equal lines are one node, named by a 64-bit hash. Each node's character shingles are exploded,
-hashed once, and aggregated to BANDS * ROWS minima: a multiplication and an addition modulo 2**32
-reorder the hashes for each. Lines that share a band's minima are candidates; their exact
-Jaccard similarity is taken over whole lines; linked lines are merged by distributed union-find,
-and of each component the first line of the smallest doc_id stays.
+Equal lines are one node, named by a 64-bit hash. Each node's character shingles are exploded and
+hashed; every band has its own part of all shingles, and its key is ROWS minima over that part. Lines
+that share a band's key are candidates; their exact Jaccard similarity is taken over whole lines;
+linked lines are merged by distributed union-find, and of each component the first line of the
+smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -12,20 +12,23 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, load, mix, prepare, save
+from .common import drop, load, prepare, save
 from .components import link_buckets
 
-#: Characters of a shingle: short ones, so that a line of 39 characters or more still links after a
-#: change of one. Unlike lines share some of them, hence the five rows. At a similarity of 0.8 two
-#: lines share a band with probability 1 - (1 - 0.8**5)**16 = 0.998.
-SHINGLE, BANDS, ROWS = 4, 16, 5
-#: Of the 80 minima so many must be equal before two lines are compared in full: a pair at 0.8 has
-#: fewer with probability 0.001.
-AGREE = 52
+#: Characters of the shingles that are compared: short ones, so that a line of 39 characters or more
+#: still links after a change of one.
+SHINGLE = 4
+BANDS = 16
+#: How lines are signed, by their characters: (least, most, shingle's width, minima of a key, bands
+#: that each shingle is in; under 1: the part of all shingles that is looked at). Shingles of 6 are
+#: seldom shared by chance; a change of one character costs them half as much again, so that 0.8 over
+#: shingles of 4 is about 0.71 over these: 1 - (1 - 0.71**4)**16 = 0.992 share a band. Short lines have
+#: too few, and are signed with shingles of 4 that are in all bands: 1 - (1 - 0.8**5)**16 = 0.998.
+#: Neighbouring classes overlap by a factor of 1.25, so two sets at 0.8 have a class in common.
+CLASSES = ((0, 64, 4, 5, BANDS), (52, 200, 6, 4, 2), (160, 800, 6, 4, 1), (640, None, 6, 4, 0.25))
 #: Longs of a parity sketch: bit i is the parity of the number of shingles hashed to i.
 LONGS = 16
 
@@ -35,11 +38,11 @@ def _units(line: str) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _exploded(units: DataFrame, width: int) -> DataFrame:
-    """(h, x): the hash of each shingle of a column u of _units; a shorter line is one shingle."""
+def _exploded(units: DataFrame, width: int, *kept: str) -> DataFrame:
+    """(kept columns, x): the hash of each shingle of a column u of _units; a shorter line is one shingle."""
     last = F.greatest(F.lit(1), (F.length("u") / 2).cast("int") - width + 1)
-    each = units.select("h", "u", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    return each.select("h", F.expr(f"substring(u, i * 2 - 1, {2 * width})").alias("x"))
+    each = units.select(*kept, "u", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    return each.select(*kept, F.expr(f"xxhash64(substring(u, i * 2 - 1, {2 * width}))").alias("x"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -48,86 +51,70 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def orders(n: int) -> list[tuple[int, int]]:
-    """Odd factors under 2**31 and addends under 2**32, drawn from a fixed sequence."""
-    drawn = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
-    return [(int(a >> np.uint64(33)) | 1, int(c >> np.uint64(32))) for a, c in zip(drawn[:n], drawn[n:], strict=True)]
-
-
-def signatures(lines: DataFrame, width: int, n: int) -> DataFrame:
-    """(node, m0, m1, ...): n minima of every distinct line's shingle hashes."""
-    hashed = _exploded(lines.select("h", _units("line").alias("u")), width).select("h", F.hash("x").cast("long").alias("x"))
-    minima = [F.min(F.expr(f"cast(((x * {a}L + {c}L) & 4294967295L) - 2147483648L as int)")).alias(f"m{i}") for i, (a, c) in enumerate(orders(n))]
-    return hashed.groupBy("h").agg(*minima).withColumnRenamed("h", "node")
-
-
-def banded(minima: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, key, node): each band's number and 64-bit hash."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return minima.select(F.posexplode(keys).alias("band", "key"), "node")
-
-
-def packed(minima: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, p0.., k0..): of all minima their last bytes, seven in a p, and 32-bit hashes of all bands."""
-    of = lambda b: [f"m{b * rows + r}" for r in range(rows)]
-    byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * (i % 7))
-    n = bands * rows
-    last = [reduce(Column.bitwiseOR, map(byte, range(i, min(i + 7, n)))).alias(f"p{i // 7}") for i in range(0, n, 7)]
-    short = [F.hash(F.lit(b), *of(b)).alias(f"k{b}") for b in range(bands)]
-    return minima.select("node", *last, *short)
-
-
-def _unequal(x: str, y: str, n: int) -> Column:
-    """How many of n packed bytes differ: seven at a time, 128 is set in each byte that is not zero."""
-    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-    diff = [F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}")) for i in range(-(-n // 7))]
-    counts = [F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)) for d in diff]
-    return sum(counts[1:], counts[0])
-
-
-def _agree(n: int, least: int):
-    """At least `least` of the n minima are equal (in their last bytes)."""
-    return lambda x, y: _unequal(x, y, n) <= n - least
-
-
-def sketched(sets: DataFrame) -> DataFrame:
-    """(node, n, q0, ...): the parity sketch of each set. Two sketches differ in no more bits than
-    their sets in elements."""
+def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
+    """(key, node): each line's key in every band that has a shingle of it. lines: (h, line), each h in one partition as
+    after repartition("h"), so that no shingle is shuffled."""
+    n, made = F.length("line"), []
+    units = lines.select("h", n.alias("n"), _units("line").alias("u"))
+    for k, (least, most, width, rows, per) in enumerate(classes):
+        some = units.where(F.col("n") >= least)
+        x = _exploded(some if most is None else some.where(F.col("n") <= most), width, "h")
+        if per < 1:
+            x = x.where(F.shiftrightunsigned("x", 32).bitwiseAND(round(1 / per) - 1) == 0)
+        own = [F.shiftrightunsigned("x", 8 * i).bitwiseAND(bands - 1).cast("int") for i in range(max(1, int(per)))]
+        band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))) if per == bands else F.explode(F.array(*own)) if per > 1 else own[0]
+        all_ = x.select("h", "x", band.alias("band"))
+        minima = [F.min(F.xxhash64("x", F.col("band") * rows + r)).alias(f"m{r}") for r in range(rows)]
+        made.append(all_.groupBy("h", "band").agg(*minima).select(F.xxhash64(F.lit(k), "band", *[f"m{r}" for r in range(rows)]).alias("key"), F.col("h").alias("node")))
+    return reduce(DataFrame.unionByName, made)
+
+
+def sketched(lines: DataFrame, width: int) -> DataFrame:
+    """(node, n, q0, ...): the size of each line's set of shingles and its parity sketch. Two sketches
+    differ in no more bits than their sets in elements. lines: (node, line)."""
     bits = "shiftleft(1L, cast(x & 63 as int))"
     longs = [F.expr(f"bit_xor(if((shiftright(x, 6) & {LONGS - 1}) = {i}, {bits}, 0L))").alias(f"q{i}") for i in range(LONGS)]
-    return sets.select("node", "n", F.explode("s").alias("x")).groupBy("node", "n").agg(*longs)
+    sets = _exploded(lines.select("node", _units("line").alias("u")), width, "node").distinct()
+    return sets.groupBy("node").agg(F.count("*").alias("n"), *longs)
+
 
+def _ratio(similarity: float) -> tuple[int, int]:
+    return Fraction(str(similarity)).as_integer_ratio()
 
-def _first(bands: int, rows: int, agree: int, similarity: float):
-    """As _agree, and the bucket is that of the first band that the two share, so that a pair is
-    compared once, and the sketches do not show that the sets differ in too many elements."""
 
-    num, den = Fraction(str(similarity)).as_integer_ratio()
+def _close(similarity: float):
+    """The sketches do not show that the sets differ in too many elements."""
+    num, den = _ratio(similarity)
 
     def could(x: str, y: str) -> Column:
-        first = F.coalesce(*[F.when(F.col(f"{x}k{b}") == F.col(f"{y}k{b}"), F.lit(b)) for b in range(bands)])
         differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}q{i}").bitwiseXOR(F.col(f"{y}q{i}"))) for i in range(LONGS)])
-        few = (den + num) * differ.cast("long") <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n")).cast("long")
-        return (_unequal(x, y, bands * rows) <= bands * rows - agree) & few & (F.col(f"{x}band") == first)
+        return (den + num) * differ.cast("long") <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
     return could
 
 
-def _alike(similarity: float):
-    """The exact Jaccard similarity of sets s of n elements, in whole numbers; the smaller cannot be
-    under the threshold's share of the larger."""
-    num, den = Fraction(str(similarity)).as_integer_ratio()
+def _alike(similarity: float) -> Column:
+    """Whether an intersection of i elements and a union of u reach the similarity, in whole numbers."""
+    num, den = _ratio(similarity)
+    return den * F.col("i") >= num * F.col("u")
 
-    def links(x: str, y: str) -> Column:
-        s, t = F.col(f"{x}s"), F.col(f"{y}s")
-        n, m = F.col(f"{x}n").cast("long"), F.col(f"{y}n").cast("long")
-        fit = den * F.least(n, m) >= num * F.greatest(n, m)
-        return F.when(fit, (den + num) * F.size(F.array_intersect(s, t)).cast("long") >= num * (n + m)).otherwise(False)
 
-    return links
+def verify_pairs(lines: DataFrame, width: int, similarity: float):
+    """Of pairs (a, b) those whose sets of shingles are at the similarity. lines: (node, line)."""
 
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda x: lines.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        sides = F.array(*[F.struct(F.lit(k).alias("side"), _units(f"line_{x}").alias("u")) for k, x in ((1, "a"), (2, "b"))])
+        each = both.select("a", "b", F.explode(sides).alias("s")).select("a", "b", F.col("s.side").alias("side"), F.col("s.u").alias("u"))
+        found = _exploded(each, width, "a", "b", "side").groupBy("a", "b", "x").agg(F.bit_or("side").alias("side"))
+        counts = found.groupBy("a", "b").agg(F.count_if(F.col("side") == 3).alias("i"), F.count("*").alias("u"))
+        return counts.where(_alike(similarity)).select("a", "b")
+
+    return verify
 
-def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, similarity: float = 0.8) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES, similarity: float = 0.8) -> DataFrame:
     """docs with `text` without its repeated lines, and columns n_lines and n_removed (long).
 
     Lines are split at line feeds. Lines link where the Jaccard similarity of their sets of
@@ -141,25 +128,17 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = lines_of(docs.select("doc_id", "text"))
     place = F.struct("doc_id", "pos", "th")
-    first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    minima = save(signatures(lines, width, bands * rows))
-    keys = banded(minima, bands, rows)
+    first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line")))
+    keys = save(signed(first.select("h", "line").repartition("h"), classes))
     shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    buckets = save(keys.join(shared, "key", "left_semi"))
-    members = save(buckets.join(packed(minima, bands, rows), "node"))
-    drop(minima, buckets)
-    nodes = members.select(F.col("node").alias("h")).distinct()
-    # whole lines of the candidates as sets of shingle hashes, made once
-    texts = lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.any_value(_units("line")).alias("u"))
-    sets = save(_exploded(texts, width).select("h", F.xxhash64("x").alias("x")).groupBy("h").agg(F.collect_set("x").alias("s")).select(F.col("h").alias("node"), "s", F.size("s").alias("n")))
+    members = save(keys.join(shared, "key", "left_semi"))
+    drop(keys)
+    texts = save(first.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "s", "n")])
-        both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-        return both.where(_alike(similarity)("a_", "b_")).select("a", "b")
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return sketched(texts.join(nodes, "node", "left_semi"), width)
 
-    sketches = save(sketched(sets))
-    labels = link_buckets(members, verify, _agree(bands * rows, agree), rounds=2, whole=(sketches, _first(bands, rows, agree, similarity)))
+    labels = link_buckets(members, verify_pairs(texts, width, similarity), _close(similarity), sketches)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))
@@ -172,7 +151,7 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     n = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = joined.withColumns({"n_lines": F.greatest(n, F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": text})
-    drop(members)
+    drop(members, texts)
     return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).select(*kept, "n_lines", "n_removed")
 
 

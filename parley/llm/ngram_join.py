@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     nodes = named.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("_id"))
     found = docs.join(nodes, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     texts = save(_of_node(found, width))
-    labels = link_buckets(lists, verify_pairs(texts, width, num, den), _could(num, den), prefer=("pos",))
+    labels = link_buckets(lists, verify_pairs(texts, width, num, den), _could(num, den), rounds=3, prefer=("pos",))
     sets = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sets = save(sets)
     lowest = sets.groupBy("label").agg(F.min("low").alias("component_id"))

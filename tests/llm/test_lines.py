@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from parley.llm import lines
 
 from .test_operators import brute_lines
@@ -42,30 +44,37 @@ def test_documents(spark):
     assert {r.doc_id: r.n_removed for r in lines.op9_line_dedup(spark, DIR).collect() if r.n_removed} == want
 
 
+def missed(spark, pairs):
+    """The share of pairs of lines without a common key."""
+    rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    keys = lines.signed(spark.createDataFrame(rows, "h long, line string").repartition("h")).withColumn("pair", F.expr("node div 2"))
+    met = keys.groupBy("pair", "key").agg(F.countDistinct("node").alias("n")).where("n = 2").select("pair").distinct().count()
+    return 1 - met / len(pairs)
+
+
 def test_minima_independent(spark):
-    """Two sets with 4 of 5 shingles in common agree in the bands and minima as independent orders would."""
+    """Two sets with 4 of 5 shingles in common share a band as under independent orders."""
     rng = random.Random(7)
-    pairs = []
-    for _ in range(3000):
-        x = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(7))
-        pairs.append((x, x + "."))
-    rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
-    got = lines.signatures(spark.createDataFrame(rows, "h long, line string"), WIDTH, lines.BANDS * lines.ROWS).collect()
-    of = {r.node: tuple(r)[1:] for r in got}
-    lost = 0
-    for i in range(len(pairs)):
-        same = [a == b for a, b in zip(of[2 * i], of[2 * i + 1], strict=True)]
-        band = any(all(same[b * lines.ROWS : (b + 1) * lines.ROWS]) for b in range(lines.BANDS))
-        lost += not band or sum(same) < lines.AGREE
-    assert lost < 0.006 * len(pairs)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(7)) for _ in range(3000)]
+    assert missed(spark, [(x, x + ".") for x in words]) < 0.006
+
+
+def test_recall_by_length(spark):
+    """Lines with as many changed characters as 0.8 allows, over all classes and where they overlap."""
+    rng = random.Random(3)
+    for n in (45, 56, 64, 90, 180, 199, 400, 700, 1500):
+        pairs = []
+        for _ in range(400):
+            x = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)]
+            y, wrong = list(x), (n - 3) // 9 // 4
+            for k in range(wrong):
+                y[5 + k * (n - 10) // wrong] = "z"
+            pairs.append(("".join(x), "".join(y)))
+        assert missed(spark, pairs) < 0.04, n
 
 
 def test_similarity_of_exactly_the_threshold(spark):
-    """Sets of 4k + i and 4k + k - i elements, 4k in common: 0.8, and with one element more under it."""
-    rows = []
-    for k in (7, 14, 23, 28, 100):
-        a, both = k // 2, range(4 * k)
-        x, y = [*both, *range(1000, 1000 + a)], [*both, *range(2000, 2000 + k - a)]
-        rows += [(k, True, x, len(x), y, len(y)), (k, False, x, len(x), [*y, 5000], len(y) + 1)]
-    df = spark.createDataFrame(rows, "k int, want boolean, a_s array<long>, a_n int, b_s array<long>, b_n int")
-    assert all(r.want == r.got for r in df.select("k", "want", lines._alike(0.8)("a_", "b_").alias("got")).collect())
+    """4k of 5k shingles in common: 0.8, and with one more in the union under it."""
+    rows = [(True, 4 * k, 5 * k) for k in (1, 7, 14, 23, 28, 100)] + [(False, 4 * k, 5 * k + 1) for k in (1, 7, 14, 23, 28, 100)]
+    df = spark.createDataFrame(rows, "want boolean, i long, u long")
+    assert all(r.want == r.got for r in df.select("want", lines._alike(0.8).alias("got")).collect())
