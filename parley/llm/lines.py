@@ -52,8 +52,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
-    """(key, node): each line's key in every band that has a shingle of it. lines: (h, line), each h in one partition as
-    after repartition("h"), so that no shingle is shuffled."""
+    """(band, key, node): each line's key in every band that has a shingle of it. lines: (h, line), partitioned by h, so
+    that no shingle is shuffled."""
     n, made = F.length("line"), []
     units = lines.select("h", n.alias("n"), _units("line").alias("u"))
     for k, (least, most, width, rows, per) in enumerate(classes):
@@ -64,8 +64,10 @@ def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> Da
         own = [F.shiftrightunsigned("x", 8 * i).bitwiseAND(bands - 1).cast("int") for i in range(max(1, int(per)))]
         band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))) if per == bands else F.explode(F.array(*own)) if per > 1 else own[0]
         all_ = x.select("h", "x", band.alias("band"))
-        minima = [F.min(F.xxhash64("x", F.col("band") * rows + r)).alias(f"m{r}") for r in range(rows)]
-        made.append(all_.groupBy("h", "band").agg(*minima).select(F.xxhash64(F.lit(k), "band", *[f"m{r}" for r in range(rows)]).alias("key"), F.col("h").alias("node")))
+        # orders of a band's own shingles by bits 13 apart; where bands share them, by a hash for each
+        order = [F.xxhash64("x", F.col("band") * rows + r) if per == bands else F.shiftleft("x", 13 * r) for r in range(rows)]
+        minima = all_.groupBy("h", "band").agg(*[F.min(o).alias(f"m{r}") for r, o in enumerate(order)])
+        made.append(minima.select(F.col("band").cast("byte").alias("band"), F.xxhash64(F.lit(k), "band", *[f"m{r}" for r in range(rows)]).alias("key"), F.col("h").alias("node")))
     return reduce(DataFrame.unionByName, made)
 
 
@@ -78,6 +80,21 @@ def sketched(lines: DataFrame, width: int) -> DataFrame:
     return sets.groupBy("node").agg(F.count("*").alias("n"), *longs)
 
 
+def shared_keys(lines: DataFrame, classes: tuple = CLASSES, rounds: int = 4) -> DataFrame:
+    """(key, node): the keys that two lines or more have, so many bands at a time, so that only a part of the keys is
+    shuffled at once."""
+    keys = save(signed(lines, classes))
+    found = []
+    for k in range(rounds):
+        some = keys.where(F.col("band") % rounds == k).select("key", "node")
+        often = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        found.append(save(some.join(often, "key", "left_semi")))
+    drop(keys)
+    members = save(reduce(DataFrame.unionByName, found))
+    drop(*found)
+    return members
+
+
 def _ratio(similarity: float) -> tuple[int, int]:
     return Fraction(str(similarity)).as_integer_ratio()
 
@@ -99,12 +116,17 @@ def _alike(similarity: float) -> Column:
     return den * F.col("i") >= num * F.col("u")
 
 
+#: Pairs that a task counts together (about 100 bytes a shingle of theirs), and partitions at most; beyond, counts spill.
+PAIRS, PARTS = 2000, 20_000
+
+
 def verify_pairs(lines: DataFrame, width: int, similarity: float):
     """Of pairs (a, b) those whose sets of shingles are at the similarity. lines: (node, line)."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: lines.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        n = min(PARTS, max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS))
+        both = pairs.join(side("a"), "a").repartition(n, "b").join(side("b").join(pairs.select("b").distinct(), "b", "left_semi").repartition(n, "b"), "b")
         sides = F.array(*[F.struct(F.lit(k).alias("side"), _units(f"line_{x}").alias("u")) for k, x in ((1, "a"), (2, "b"))])
         each = both.select("a", "b", F.explode(sides).alias("s")).select("a", "b", F.col("s.side").alias("side"), F.col("s.u").alias("u"))
         found = _exploded(each, width, "a", "b", "side").groupBy("a", "b", "x").agg(F.bit_or("side").alias("side"))
@@ -128,12 +150,10 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = lines_of(docs.select("doc_id", "text"))
     place = F.struct("doc_id", "pos", "th")
-    first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line")))
-    keys = save(signed(first.select("h", "line").repartition("h"), classes))
-    shared = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    members = save(keys.join(shared, "key", "left_semi"))
-    drop(keys)
-    texts = save(first.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi"))
+    first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    members = shared_keys(lines.groupBy("h").agg(F.any_value("line").alias("line")), classes)
+    own = lines.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi")
+    texts = save(own.groupBy("node").agg(F.any_value("line").alias("line")))
 
     def sketches(nodes: DataFrame) -> DataFrame:
         return sketched(texts.join(nodes, "node", "left_semi"), width)
