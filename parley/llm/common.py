@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text hashed at a time inside a task; one longer text is a chunk of its own.
 CHUNK = 1 << 20
@@ -23,9 +24,31 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def parts(spark: SparkSession) -> int:
-    """The number of shuffle partitions; packed blocks are dealt to four times as many numbers."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text whose entries make a part on average, and parts of a task.
+PART, PARTS = 2 << 20, 16
+
+
+def deal(docs: DataFrame) -> tuple[int, int]:
+    """How many tasks and parts the bytes of a column text ask for. Packed entries are dealt to parts,
+    parts to tasks with repartition(tasks, "part").sortWithinPartitions("part"), and a task works on one
+    part at a time, so that its memory does not depend on the input."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (PART * PARTS) + 1)
+    return tasks, tasks * PARTS
+
+
+def by_part(batches):
+    """Of rows in the order of their first column, the part: the other columns of one part after the other."""
+    part, held = None, []
+    for b in batches:
+        for p, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if p != part:
+                if held:
+                    yield held
+                part, held = p, []
+            held.append(row)
+    if held:
+        yield held
 
 
 def save(df: DataFrame) -> DataFrame:

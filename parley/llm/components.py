@@ -45,30 +45,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 SLICE = 256
 
 
-def _whole_buckets(labelled: DataFrame, could: Callable[[str, str], F.Column], sketches: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def _whole_buckets(labelled: DataFrame, could: Callable[[str, str], F.Column], sketches: DataFrame | None) -> DataFrame:
     """(a, b): of all pairs of a bucket in different components those that pass `could`, tested
     inside the join, so that no other pair leaves it. Large buckets are dealt by slices."""
     sizes = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_c")).where("_l < _h")
     some = save(labelled.join(sizes.select("key", F.ceil(F.col("_c") / SLICE).cast("int").alias("_c")), "key"))
-    known = [save(sketches(some.select("node").distinct()))] if sketches else []
-    full = some.join(known[0], "node") if known else some
+    full = some.join(sketches, "node") if sketches is not None else some
     named = lambda x, at: full.select("key", at.alias("_slice"), *[F.col(c).alias(f"{x}{c}") for c in full.columns if c not in ("key", "_c")])
     x = named("x_", F.pmod(F.xxhash64("node", F.lit(1)), "_c").cast("int"))
     y = named("y_", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
     both = x.join(y, ["key", "_slice"]).where((F.col("x_label") < F.col("y_label")) & could("x_", "y_"))
     pairs = save(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
-    drop(some, *known)
+    drop(some)
     return pairs
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2, prefer: tuple[str, ...] = ()) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: DataFrame | None = None, rounds: int = 2, prefer: tuple[str, ...] = ()) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
     verify: gets distinct pairs (a, b) and returns those that are links.
     could: a condition on columns of two members, prefixed x_ and y_, that true links pass.
-    sketches: gets nodes and returns a table by node whose columns `could` reads; then it is asked
-    in the last step only.
+    sketches: a table by node whose columns `could` reads.
     prefer: columns of which a low value lets a member pass `could` more often.
 
     In each round every bucket names one member, and every node is verified against one of those
@@ -97,18 +95,27 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
             y = named.select("key", F.col("y.turn").alias("turn"), *[F.col("y")[c].alias(f"y_{c}") for c in ("node", "label", *extra)])
             x = labelled.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", *extra)])
             both = x.join(y, "key").where("x_label != y_label")
-            tries = (both if sketches else both.where(could("x_", "y_"))).groupBy("x_node", "y_node").agg(F.min("turn").alias("turn"))
+            if sketches is None:
+                both = both.where(could("x_", "y_"))
+            tries = both.groupBy("x_node", "y_node").agg(F.min("turn").alias("turn"), F.count("*").alias("n"))
             if step:
                 # a node of a loosely knit group is tried against a few, whose components then merge
                 own = Window.partitionBy("x_node").orderBy("turn", "y_node")
                 tries = tries.withColumn("r", F.row_number().over(own)).where("r <= 8")
             else:
-                tries = tries.groupBy("x_node").agg(F.min("y_node").alias("y_node"))
+                tries = tries.groupBy("x_node").agg(F.max_by("y_node", F.struct("n", "y_node")).alias("y_node"))
+            if sketches is not None:
+                known = lambda x: sketches.select(*[F.col(c).alias(f"{x}{c}") for c in sketches.columns])
+                tries = tries.join(known("x_"), "x_node").join(known("y_"), "y_node").where(could("x_", "y_"))
             pairs = tries.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
-        found = keep(verify(pairs))
+        found = verify(pairs)
+        if hasattr(found, "_scratch"):
+            made += [] if found is pairs else [found]
+        else:
+            found = keep(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if labels is not None and found.isEmpty():

@@ -28,9 +28,10 @@ BANDS = 16
 #: shingles of 4 is about 0.71 over these: 1 - (1 - 0.71**4)**16 = 0.992 share a band. Short lines have
 #: too few, and are signed with shingles of 4 that are in all bands: 1 - (1 - 0.8**5)**16 = 0.998.
 #: Neighbouring classes overlap by a factor of 1.25, so two sets at 0.8 have a class in common.
-CLASSES = ((0, 64, 4, 5, BANDS), (52, 200, 6, 4, 2), (160, 800, 6, 4, 1), (640, None, 6, 4, 0.25))
-#: Longs of a parity sketch: bit i is the parity of the number of shingles hashed to i.
-LONGS = 16
+CLASSES = ((0, 64, 4, 5, BANDS), (52, 200, 6, 4, 2), (160, 400, 6, 4, 1), (320, 1600, 6, 4, 0.5), (1280, None, 6, 4, 0.125))
+#: Of the first four minima of each band one byte is kept, and two lines are compared in full where so many of the
+#: 64 are equal: at 0.71 46 are expected, with a deviation of 4.
+KEPT, AGREE = 4, 32
 
 
 def _units(line: str) -> Column:
@@ -52,8 +53,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
-    """(band, key, node): each line's key in every band that has a shingle of it. lines: (h, line), partitioned by h, so
-    that no shingle is shuffled."""
+    """(node, class, k0, ..., d0, ...): each line's keys, null for a band that has no shingle of it, and bytes of their
+    minima, once for each class. lines: (h, line), partitioned by h, so that no shingle is shuffled."""
     n, made = F.length("line"), []
     units = lines.select("h", n.alias("n"), _units("line").alias("u"))
     for k, (least, most, width, rows, per) in enumerate(classes):
@@ -67,71 +68,69 @@ def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> Da
         # orders of a band's own shingles by bits 13 apart; where bands share them, by a hash for each
         order = [F.xxhash64("x", F.col("band") * rows + r) if per == bands else F.shiftleft("x", 13 * r) for r in range(rows)]
         minima = all_.groupBy("h", "band").agg(*[F.min(o).alias(f"m{r}") for r, o in enumerate(order)])
-        made.append(minima.select(F.col("band").cast("byte").alias("band"), F.xxhash64(F.lit(k), "band", *[f"m{r}" for r in range(rows)]).alias("key"), F.col("h").alias("node")))
+        byte = lambda r: F.shiftleft(F.shiftrightunsigned(f"m{r}", 45).bitwiseAND(255).cast("int"), 8 * r)
+        keys = minima.select("h", "band", F.xxhash64(F.lit(k), "band", *[f"m{r}" for r in range(rows)]).alias("key"), reduce(Column.bitwiseOR, map(byte, range(KEPT))).alias("d"))
+        of = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c)))
+        whole = keys.groupBy("h").agg(*[of("key", b).alias(f"k{b}") for b in range(bands)], *[F.coalesce(of("d", b), F.lit(0)).alias(f"d{b}") for b in range(bands)])
+        made.append(whole.withColumnRenamed("h", "node").withColumn("class", F.lit(k).cast("byte")))
     return reduce(DataFrame.unionByName, made)
 
 
-def sketched(lines: DataFrame, width: int) -> DataFrame:
-    """(node, n, q0, ...): the size of each line's set of shingles and its parity sketch. Two sketches
-    differ in no more bits than their sets in elements. lines: (node, line)."""
-    bits = "shiftleft(1L, cast(x & 63 as int))"
-    longs = [F.expr(f"bit_xor(if((shiftright(x, 6) & {LONGS - 1}) = {i}, {bits}, 0L))").alias(f"q{i}") for i in range(LONGS)]
-    sets = _exploded(lines.select("node", _units("line").alias("u")), width, "node").distinct()
-    return sets.groupBy("node").agg(F.count("*").alias("n"), *longs)
-
-
-def shared_keys(lines: DataFrame, classes: tuple = CLASSES, rounds: int = 4) -> DataFrame:
+def shared_keys(signatures: DataFrame, bands: int = BANDS, rounds: int = 4) -> DataFrame:
     """(key, node): the keys that two lines or more have, so many bands at a time, so that only a part of the keys is
-    shuffled at once."""
-    keys = save(signed(lines, classes))
+    read and shuffled at once."""
     found = []
-    for k in range(rounds):
-        some = keys.where(F.col("band") % rounds == k).select("key", "node")
+    for at in range(rounds):
+        some = signatures.select("node", F.explode(F.array(*[f"k{b}" for b in range(at, bands, rounds)])).alias("key")).where("key is not null")
         often = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        found.append(save(some.join(often, "key", "left_semi")))
-    drop(keys)
+        found.append(save(some.join(often, "key", "left_semi").select("key", "node")))
     members = save(reduce(DataFrame.unionByName, found))
     drop(*found)
     return members
 
 
-def _ratio(similarity: float) -> tuple[int, int]:
-    return Fraction(str(similarity)).as_integer_ratio()
-
-
-def _close(similarity: float):
-    """The sketches do not show that the sets differ in too many elements."""
-    num, den = _ratio(similarity)
+def _agree(bands: int = BANDS, least: int = AGREE):
+    """Two signatures are of one class and at least so many of their bytes are equal."""
+    low, high = F.lit(0x7F7F7F7F).cast("long"), F.lit(0x80808080).cast("long")
 
     def could(x: str, y: str) -> Column:
-        differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}q{i}").bitwiseXOR(F.col(f"{y}q{i}"))) for i in range(LONGS)])
-        return (den + num) * differ.cast("long") <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n"))
+        diff = [F.col(f"{x}d{b}").bitwiseXOR(F.col(f"{y}d{b}")).cast("long").bitwiseAND(0xFFFFFFFF) for b in range(bands)]
+        # 128 is set in each byte that is not zero
+        unequal = reduce(Column.__add__, [F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)) for d in diff])
+        return (F.col(f"{x}class") == F.col(f"{y}class")) & (unequal <= bands * KEPT - least)
 
     return could
 
 
 def _alike(similarity: float) -> Column:
     """Whether an intersection of i elements and a union of u reach the similarity, in whole numbers."""
-    num, den = _ratio(similarity)
+    num, den = Fraction(str(similarity)).as_integer_ratio()
     return den * F.col("i") >= num * F.col("u")
 
 
 #: Pairs that a task counts together (about 100 bytes a shingle of theirs), and partitions at most; beyond, counts spill.
-PAIRS, PARTS = 2000, 20_000
+PAIRS, PARTS = 1000, 20_000
 
 
 def verify_pairs(lines: DataFrame, width: int, similarity: float):
-    """Of pairs (a, b) those whose sets of shingles are at the similarity. lines: (node, line)."""
+    """Of pairs (a, b) those whose sets of shingles are at the similarity. lines: (node, line), a node repeated or not."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: lines.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"))
-        n = min(PARTS, max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS))
-        both = pairs.join(side("a"), "a").repartition(n, "b").join(side("b").join(pairs.select("b").distinct(), "b", "left_semi").repartition(n, "b"), "b")
+        total = pairs.count()
+        if not total:
+            return pairs
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = save(lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
+        side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"))
+        n = min(PARTS, max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PAIRS))
+        both = pairs.join(side("a"), "a").repartition(n, "b").join(side("b").repartition(n, "b"), "b")
         sides = F.array(*[F.struct(F.lit(k).alias("side"), _units(f"line_{x}").alias("u")) for k, x in ((1, "a"), (2, "b"))])
         each = both.select("a", "b", F.explode(sides).alias("s")).select("a", "b", F.col("s.side").alias("side"), F.col("s.u").alias("u"))
         found = _exploded(each, width, "a", "b", "side").groupBy("a", "b", "x").agg(F.bit_or("side").alias("side"))
         counts = found.groupBy("a", "b").agg(F.count_if(F.col("side") == 3).alias("i"), F.count("*").alias("u"))
-        return counts.where(_alike(similarity)).select("a", "b")
+        linked = save(counts.where(_alike(similarity)).select("a", "b"))
+        drop(texts)
+        return linked
 
     return verify
 
@@ -151,14 +150,12 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     lines = lines_of(docs.select("doc_id", "text"))
     place = F.struct("doc_id", "pos", "th")
     first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    members = shared_keys(lines.groupBy("h").agg(F.any_value("line").alias("line")), classes)
-    own = lines.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi")
-    texts = save(own.groupBy("node").agg(F.any_value("line").alias("line")))
-
-    def sketches(nodes: DataFrame) -> DataFrame:
-        return sketched(texts.join(nodes, "node", "left_semi"), width)
-
-    labels = link_buckets(members, verify_pairs(texts, width, similarity), _close(similarity), sketches)
+    signatures = save(signed(lines.groupBy("h").agg(F.any_value("line").alias("line")), classes))
+    members = shared_keys(signatures)
+    digests = signatures.drop(*[f"k{b}" for b in range(BANDS)])
+    verify = verify_pairs(lines.select(F.col("h").alias("node"), "line"), width, similarity)
+    labels = link_buckets(members, verify, _agree(), digests)
+    drop(signatures)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))
@@ -171,7 +168,7 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     n = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = joined.withColumns({"n_lines": F.greatest(n, F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": text})
-    drop(members, texts)
+    drop(members)
     return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).select(*kept, "n_lines", "n_removed")
 
 

@@ -45,11 +45,14 @@ def test_documents(spark):
 
 
 def missed(spark, pairs):
-    """The share of pairs of lines without a common key."""
+    """The share of pairs of lines without a common key, or with too few equal minima."""
     rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
-    keys = lines.signed(spark.createDataFrame(rows, "h long, line string").repartition("h")).withColumn("pair", F.expr("node div 2"))
-    met = keys.groupBy("pair", "key").agg(F.countDistinct("node").alias("n")).where("n = 2").select("pair").distinct().count()
-    return 1 - met / len(pairs)
+    got = lines.signed(spark.createDataFrame(rows, "h long, line string").repartition("h"))
+    a, b = (got.where(F.expr(f"node % 2 = {k}")).select(F.expr("node div 2").alias("pair"), *[F.col(c).alias(f"{x}{c}") for c in got.columns]) for k, x in ((0, "x_"), (1, "y_")))
+    band = F.lit(False)
+    for i in range(lines.BANDS):
+        band = band | F.coalesce(F.col(f"x_k{i}") == F.col(f"y_k{i}"), F.lit(False))
+    return 1 - a.join(b, "pair").where(band & lines._agree()("x_", "y_")).select("pair").distinct().count() / len(pairs)
 
 
 def test_minima_independent(spark):
