@@ -4,7 +4,8 @@ Rows of the incidence matrix are the distinct shingle sets (exact copies share o
 the shingles. Columns are dealt out in blocks; a block multiplies only entries that a pair
 above the threshold must share: the first n - ceil(t*n) + 1 columns of each row in one global
 order (size-derived prefix), and only pairs whose overlap can still reach t/(1+t)*(n1+n2).
-The product of whole rows is then taken for the pairs that are left.
+For the pairs that are left, the product of whole rows is accumulated over blocks of columns, and
+a pair goes as soon as its count and the columns still to come cannot reach that bound.
 
 The global order puts frequent columns last, so that common passages are seldom in a prefix.
 Which columns are frequent is counted over all documents; the list of at most HOT of them is
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, load, parts, prepare, save, set_hash, shingle_sets
+from .common import by_part, deal, drop, load, prepare, save, set_hash, shingle_sets
 from .components import link_buckets
 
 #: Columns named frequent at most (2 MB of broadcast), and the least count of one.
 HOT, FREQUENT = 1 << 18, 32
 #: Entries packed before a task hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Blocks of columns over which the overlap of a pair is accumulated, and rows multiplied with one.
+BLOCKS, MANY = 8, 64
 
 
 def _pack(part: np.ndarray, n_parts: int, columns: list[np.ndarray]):
@@ -54,9 +57,8 @@ def shingle_nodes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def frequent_columns(docs: DataFrame, width: int) -> np.ndarray:
+def frequent_columns(docs: DataFrame, width: int, tasks: int, n_parts: int) -> np.ndarray:
     """The upper 40 bits of the shingles in most documents, sorted."""
-    n_parts = parts(docs.sparkSession)
     out = {"part": pa.int32(), "payload": pa.binary()}
 
     def count(batches):
@@ -80,20 +82,19 @@ def frequent_columns(docs: DataFrame, width: int) -> np.ndarray:
             yield flush()
 
     def reduce(batches):
-        held = [np.frombuffer(p, np.uint8).reshape(-1, 5) for b in batches for p in b.column(1).to_pylist()]
-        if not held:
-            return
-        five = np.concatenate(held)
-        eight = np.zeros((len(five), 8), np.uint8)
-        eight[:, 3:] = five
-        h = np.sort(eight.view(np.uint64).ravel().byteswap())
-        cut = np.flatnonzero(np.diff(h)) + 1
-        start = np.concatenate(([0], cut))
-        n = np.diff(np.concatenate((start, [len(h)])))
-        often = n >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(h[start][often].view(np.int64)), pa.array(n[often])], ["h", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "part int, payload binary").repartition("part").mapInArrow(reduce, "h long, n long")
+        for rows in by_part(batches):
+            five = np.concatenate([np.frombuffer(p, np.uint8).reshape(-1, 5) for (p,) in rows])
+            eight = np.zeros((len(five), 8), np.uint8)
+            eight[:, 3:] = five
+            h = np.sort(eight.view(np.uint64).ravel().byteswap())
+            cut = np.flatnonzero(np.diff(h)) + 1
+            start = np.concatenate(([0], cut))
+            n = np.diff(np.concatenate((start, [len(h)])))
+            often = n >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(h[start][often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+
+    dealt = docs.select("text").mapInArrow(count, "part int, payload binary").repartition(tasks, "part").sortWithinPartitions("part")
+    counted = dealt.mapInArrow(reduce, "h long, n long")
     top = counted.orderBy(F.desc("n"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(top.view(np.uint64))
 
@@ -102,10 +103,9 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def prefix_lists(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+def prefix_lists(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, tasks: int, n_parts: int) -> DataFrame:
     """(key, node, n, pos): the entries of those prefix columns that two sets or more share."""
-    spark = docs.sparkSession
-    n_parts, hot = parts(spark), spark.sparkContext.broadcast(hot)
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
     out = {"part": pa.int32(), "hot": pa.bool_(), "payload": pa.binary()}
     entry = np.dtype([("key", "u8"), ("node", "i8"), ("n", "u4"), ("pos", "u4")])
 
@@ -144,19 +144,19 @@ def prefix_lists(docs: DataFrame, width: int, num: int, den: int, hot: np.ndarra
             yield flush()
 
     def gather(batches):
-        cold = []
-        for b in batches:
-            for is_hot, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for held in by_part(batches):
+            cold = []
+            for is_hot, payload in held:
                 rows = np.frombuffer(payload, entry)
                 if is_hot:
                     yield _entries(rows)
                 else:
                     cold.append(rows)
-        if cold:
-            yield _entries(_shared(np.concatenate(cold), num, den))
+            if cold:
+                yield _entries(_shared(np.concatenate(cold), num, den))
 
     dealt = docs.select("text").mapInArrow(emit, "part int, hot boolean, payload binary")
-    return dealt.repartition("part").mapInArrow(gather, "key long, node long, n int, pos int").dropDuplicates(["key", "node"])
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(gather, "key long, node long, n int, pos int").dropDuplicates(["key", "node"])
 
 
 def _entries(rows: np.ndarray) -> pa.RecordBatch:
@@ -190,6 +190,31 @@ def _could(num: int, den: int):
     return could
 
 
+def overlapping(x: np.ndarray, ys: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of the rows ys (sorted columns) have den * intersection >= num * union with row x: a product
+    of one row with many, accumulated block by block of the columns."""
+    edges = np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64(2**64 // BLOCKS)
+    n, m = len(x), np.array([len(y) for y in ys], np.int64)
+    need = np.maximum(1, -(-num * (n + m) // (num + den)))
+    cx = [0, *np.searchsorted(x, edges).tolist(), n]
+    cy = np.array([[0, *np.searchsorted(y, edges).tolist(), len(y)] for y in ys], np.int64).reshape(-1, BLOCKS + 1)
+    count, alive = np.zeros(len(ys), np.int64), np.flatnonzero(np.minimum(n, m) >= need)
+    for k in range(BLOCKS):
+        if not len(alive):
+            break
+        own = x[cx[k] : cx[k + 1]]
+        both = np.concatenate([ys[i][cy[i, k] : cy[i, k + 1]] for i in alive.tolist()])
+        if len(own) and len(both):
+            hit = own[np.minimum(np.searchsorted(own, both), len(own) - 1)] == both
+            total, ends = np.concatenate(([0], np.cumsum(hit))), np.cumsum(cy[alive, k + 1] - cy[alive, k])
+            count[alive] += total[ends] - total[np.concatenate(([0], ends[:-1]))]
+        rest = np.minimum(n - cx[k + 1], m[alive] - cy[alive, k + 1])
+        alive = alive[count[alive] + rest >= need[alive]]
+    out = np.zeros(len(ys), bool)
+    out[alive] = True
+    return out
+
+
 def verify_pairs(texts: DataFrame, width: int, num: int, den: int):
     """Pairs of nodes whose whole sets have den * intersection >= num * union."""
 
@@ -197,13 +222,13 @@ def verify_pairs(texts: DataFrame, width: int, num: int, den: int):
         for b in batches:
             a, t, u = b.column(0).to_numpy(), b.column(2), b.column(3)
             new = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.empty(0, bool)
-            left = shingle_sets(t.filter(pa.array(new)), width)
-            keep, x = np.zeros(len(a), bool), None
-            for i, y in enumerate(shingle_sets(u, width)):
-                if new[i]:
-                    x = next(left)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep[i] = both > 0 and den * both >= num * (len(x) + len(y) - both)
+            left, right = shingle_sets(t.filter(pa.array(new)), width), shingle_sets(u, width)
+            keep, cut = np.zeros(len(a), bool), [*np.flatnonzero(new).tolist(), len(a)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                x = next(left)
+                for at in range(lo, hi, MANY):
+                    end = min(hi, at + MANY)
+                    keep[at:end] = overlapping(x, [next(right) for _ in range(at, end)], num, den)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (b.column(0), b.column(1))], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -228,8 +253,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     named = save(shingle_nodes(docs, width))
-    hot = frequent_columns(docs, width)
-    lists = save(prefix_lists(docs, width, num, den, hot))
+    tasks, n_parts = deal(docs)
+    hot = frequent_columns(docs, width, tasks, n_parts)
+    lists = save(prefix_lists(docs, width, num, den, hot, tasks, n_parts))
     # one document for each set that shares a column
     nodes = named.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("_id"))
     found = docs.join(nodes, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
