@@ -12,7 +12,12 @@ whose cover strings are equal.
    Buckets with many contexts are dealt by window instead, so that no task holds one whole.
 3. Marked bytes are cut out, document by document.
 
-A position's place in the order is (doc_id, start).
+A position's place in the order is (doc_id, start). Equality of windows is that of two 64-bit hashes,
+of the window and of its cover string.
+
+Buckets are dealt to parts whose number follows the bytes of the input. Spark sorts each task's rows by
+part, and a task works on one part at a time, so that its memory depends on the size of a part and not on the input.
+Texts are read in pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -22,19 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, _PLAIN, chunks, load, mix, parts, powers, prepare, save, utf8
+from .common import CHUNK, _PLAIN, by_part, chunks, deal, load, mix, powers, prepare, save, utf8
 
 LENGTH, WIDE = 100, 32
 SPAN = LENGTH - WIDE + 1
 #: Different contexts of one bucket in a task from which on it is dealt by window.
 LARGE = 64
-FLUSH = 1 << 20
+#: Entries that a task deals out, windows that it sorts, and bytes of text that it reads at a time.
+FLUSH, PIECE = 1 << 18, 1 << 18
 
 #: What an entry says: it is marked; its windows are to be sorted in their bucket, or by themselves.
 MARK, SORT, SPREAD = 0, 1, 2
 ENTRY = np.dtype([("bucket", "u8"), ("rank", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "u4"), ("n", "u4")])
 PLACE = np.dtype([("doc", "i8"), ("th", "i8"), ("p", "u4"), ("n", "u4"), ("kind", "u1")])
-WINDOW = np.dtype([("rank", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "u4")])
+WINDOW = np.dtype([("bucket", "u8"), ("rank", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "u4")])
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -156,9 +162,31 @@ def _part(x: np.ndarray, n_parts: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
 
 
-def rank_contexts(docs: DataFrame) -> DataFrame:
+def pieces(offsets: np.ndarray):
+    """Ranges of rows with about PIECE bytes, and for a longer text its pieces: (first row, end, byte
+    where the piece starts, byte where it ends). A piece ends with the last window that starts in its
+    PIECE bytes."""
+    for lo, hi in chunks(offsets, PIECE):
+        n = int(offsets[hi] - offsets[lo])
+        if hi - lo > 1 or n <= PIECE:
+            yield lo, hi, 0, n
+        else:
+            for start in range(0, n - LENGTH + 1, PIECE):
+                yield lo, hi, start, min(n, start + PIECE + LENGTH - 1)
+
+
+def _gathered(df: DataFrame, tasks: int, work) -> DataFrame:
+    def run(batches):
+        for rows in by_part(batches):
+            out = work(rows)
+            if out and (batch := _rows(np.concatenate(out))) is not None:
+                yield batch
+
+    return df.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, _PLACES)
+
+
+def rank_contexts(docs: DataFrame, tasks: int, n_parts: int) -> DataFrame:
     """Step 1: places (doc, th, packed) that are marked, or whose windows are to be sorted."""
-    n_parts = parts(docs.sparkSession)
 
     def flush(held):
         rows, later = _later(np.concatenate(held), "bucket", "rank")
@@ -180,15 +208,15 @@ def rank_contexts(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(b.column(2))
             doc = b.column(0).fill_null(NULL_ID).to_numpy()
             th = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(offsets):
-                off = offsets[lo : hi + 1] - offsets[lo]
-                if (found := contexts(data[offsets[lo] : offsets[hi]], off)) is None:
+            for lo, hi, start, end in pieces(offsets):
+                off = np.clip(offsets[lo : hi + 1] - offsets[lo] - start, 0, end - start)
+                if (found := contexts(data[offsets[lo] + start : offsets[lo] + end], off)) is None:
                     continue
                 hashes, row, cover, first, n = found
                 rows = np.empty(len(row), ENTRY)
                 rows["bucket"] = hashes.of(cover, cover + WIDE)
                 rows["rank"] = mix(hashes.of(first, first + n - 1 + LENGTH) + (cover - first).astype(np.uint64))
-                rows["doc"], rows["th"], rows["p"], rows["n"] = doc[lo:hi][row], th[lo:hi][row], first - off[row], n
+                rows["doc"], rows["th"], rows["p"], rows["n"] = doc[lo:hi][row], th[lo:hi][row], first - off[row] + start, n
                 held.append(rows)
                 size += len(rows)
                 if size >= FLUSH:
@@ -197,14 +225,13 @@ def rank_contexts(docs: DataFrame) -> DataFrame:
         if held:
             yield _dealt_batch(flush(held))
 
-    def gather(batches):
+    def gather(held):
         ranked, spread, out = [], [], []
-        for b in batches:
-            for kind, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if kind == "place":
-                    out.append(_read(payload, PLACE))
-                else:
-                    (ranked if kind == "rank" else spread).append(_read(payload, ENTRY))
+        for kind, payload in held:
+            if kind == "place":
+                out.append(_read(payload, PLACE))
+            else:
+                (ranked if kind == "rank" else spread).append(_read(payload, ENTRY))
         if ranked:
             rows = np.concatenate(ranked)
             sign, rows = np.unique(rows["bucket"][rows["n"] == 0]), rows[rows["n"] > 0]
@@ -221,10 +248,9 @@ def rank_contexts(docs: DataFrame) -> DataFrame:
         if spread:
             rows, later = _later(np.concatenate(spread), "bucket", "rank")
             out += [_places(rows[later], MARK), _places(rows[~later], SPREAD)]
-        if out and (batch := _rows(np.concatenate(out))) is not None:
-            yield batch
+        return out
 
-    return docs.mapInArrow(emit, _DEALT).repartition("part").mapInArrow(gather, _PLACES)
+    return _gathered(docs.mapInArrow(emit, _DEALT), tasks, gather)
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -234,9 +260,8 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return at + np.repeat(start - before, n)
 
 
-def sort_buckets(docs: DataFrame) -> DataFrame:
+def sort_buckets(docs: DataFrame, tasks: int, n_parts: int) -> DataFrame:
     """Step 2: places of windows with an earlier equal. docs: doc_id, th, text, all_places."""
-    n_parts = parts(docs.sparkSession)
     head = np.dtype([("bucket", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "u4"), ("n", "u4")])
 
     def emit(batches):
@@ -245,20 +270,22 @@ def sort_buckets(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(b.column(2))
             doc = b.column(0).fill_null(NULL_ID).to_numpy()
             th = b.column(1).to_numpy(zero_copy_only=False)
-            packed, made = b.column(3).to_pylist(), []
-            for lo, hi in chunks(offsets):
-                text = data[offsets[lo] : offsets[hi]]
+            packed, made = b.column(3), []
+            for lo, hi, start, end in pieces(offsets):
+                text = data[offsets[lo] + start : offsets[lo] + end]
                 if len(text) < LENGTH:
                     continue
-                own = [np.frombuffer(b"".join(packed[i]), _PACKED) for i in range(lo, hi)]
+                own = [np.frombuffer(b"".join(x), _PACKED) for x in packed.slice(lo, hi - lo).to_pylist()]
                 row = np.repeat(np.arange(hi - lo), [len(x) for x in own])
                 places = np.concatenate(own)
                 keep = places["kind"] != MARK
+                if len(own) == 1:
+                    keep &= (places["p"] >= start) & (places["p"] <= end - LENGTH)
                 places, row = places[keep], row[keep]
                 if not len(places):
                     continue
                 hashes, raw = Hashes(text), text.tobytes()
-                first = offsets[lo + row] - offsets[lo] + places["p"]
+                first = offsets[lo + row] - offsets[lo] + places["p"] - start
                 n = places["n"].astype(np.int64)
                 # the cover position again: the least hash of the first window
                 value = np.array([_cover(hashes, a) for a in first.tolist()])
@@ -277,30 +304,30 @@ def sort_buckets(docs: DataFrame) -> DataFrame:
                 if spread.any():
                     at = _ranges(first[spread], n[spread])
                     rows = np.empty(len(at), WINDOW)
-                    rows["rank"] = hashes.of(at, at + LENGTH)
+                    rows["bucket"], rows["rank"] = np.repeat(bucket[spread], n[spread]), hashes.of(at, at + LENGTH)
                     rows["doc"], rows["th"] = np.repeat(doc[lo + row[spread]], n[spread]), np.repeat(th[lo + row[spread]], n[spread])
                     rows["p"] = _ranges(places["p"][spread].astype(np.int64), n[spread])
                     windows.append(rows)
                     size += len(rows)
-            if size >= FLUSH:
-                made += _spread(windows, n_parts)
-                windows, size = [], 0
-            if made:
-                yield _dealt_batch(made)
+                if size >= FLUSH:
+                    made += _spread(windows, n_parts)
+                    windows, size = [], 0
+                if made:
+                    yield _dealt_batch(made)
+                    made = []
         if windows:
             yield _dealt_batch(_spread(windows, n_parts))
 
-    def gather(batches):
+    def gather(held):
         windows, contexts_, out = [], [], []
-        for b in batches:
-            for kind, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if kind == "place":
-                    out.append(_read(payload, PLACE))
-                elif kind == "window":
-                    windows.append(_read(payload, WINDOW))
-                else:
-                    n = int.from_bytes(payload[-8:], "little")
-                    contexts_.append((np.frombuffer(payload, head, n), payload[n * head.itemsize : -8]))
+        for kind, payload in held:
+            if kind == "place":
+                out.append(_read(payload, PLACE))
+            elif kind == "window":
+                windows.append(_read(payload, WINDOW))
+            else:
+                n = int.from_bytes(payload[-8:], "little")
+                contexts_.append((np.frombuffer(payload, head, n), payload[n * head.itemsize : -8]))
         if contexts_:
             heads, data = np.concatenate([h for h, _ in contexts_]), np.frombuffer(b"".join(t for _, t in contexts_), np.uint8)
             n = heads["n"].astype(np.int64)
@@ -313,7 +340,7 @@ def sort_buckets(docs: DataFrame) -> DataFrame:
                 while end < len(order) and heads["bucket"][order[end]] == heads["bucket"][order[end - 1]]:
                     end += 1
                 own = order[at:end]
-                rows = np.empty(int(n[own].sum()), [("bucket", "u8"), *WINDOW.descr])
+                rows = np.empty(int(n[own].sum()), WINDOW)
                 starts = _ranges(first[own], n[own])
                 rows["rank"] = _window_hashes(data, starts)
                 for c in ("bucket", "doc", "th"):
@@ -323,12 +350,11 @@ def sort_buckets(docs: DataFrame) -> DataFrame:
                 out.append(_joined(_places(rows[later], MARK)))
                 at = end
         if windows:
-            rows, later = _later(np.concatenate(windows), "rank")
+            rows, later = _later(np.concatenate(windows), "bucket", "rank")
             out.append(_joined(_places(rows[later], MARK)))
-        if out and (batch := _rows(np.concatenate(out))) is not None:
-            yield batch
+        return out
 
-    return docs.mapInArrow(emit, _DEALT).repartition("part").mapInArrow(gather, _PLACES)
+    return _gathered(docs.mapInArrow(emit, _DEALT), tasks, gather)
 
 
 def _cover(hashes: Hashes, start: int) -> int:
@@ -354,7 +380,7 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _spread(windows: list[np.ndarray], n_parts: int):
-    rows, later = _later(np.concatenate(windows), "rank")
+    rows, later = _later(np.concatenate(windows), "bucket", "rank")
     out = list(_dealt(_part(mix(rows["doc"][later].view(np.uint64)), n_parts), "place", _places(rows[later], MARK)))
     rows = rows[~later]
     return out + list(_dealt(_part(rows["rank"], n_parts), "window", rows))
@@ -373,10 +399,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    first = save(rank_contexts(docs))
+    tasks, n_parts = deal(docs)
+    first = save(rank_contexts(docs, tasks, n_parts))
     todo = first.groupBy("doc", "th").agg(F.collect_list("places").alias("all_places"))
     text = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    second = save(sort_buckets(text.join(todo, ["doc", "th"]).select("doc_id", "th", "text", "all_places")))
+    second = save(sort_buckets(text.join(todo, ["doc", "th"]).select("doc_id", "th", "text", "all_places"), tasks, n_parts))
     marks = first.unionByName(second).groupBy("doc", "th").agg(F.collect_list("places").alias("all_places"))
     both = text.join(marks, ["doc", "th"], "left").select("doc_id", "text", "all_places")
 
@@ -391,14 +418,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(raw)
                     spans.append([])
                     continue
-                step = np.zeros(len(raw) + 1, np.int32)
                 p = places["p"].astype(np.int64)
-                np.add.at(step, p, 1)
-                np.add.at(step, p + places["n"] - 1 + LENGTH, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-                spans.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
+                order = np.argsort(p, kind="stable")
+                p, stop = p[order], np.maximum.accumulate((p + places["n"] - 1 + LENGTH)[order])
+                new = np.concatenate(([True], p[1:] > stop[:-1]))
+                gone = list(zip(p[new].tolist(), stop[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(p) - 1]))].tolist(), strict=True))
+                ends = [0, *(y for _, y in gone)]
+                kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(x for x, _ in gone), len(raw)], strict=True)))
+                spans.append([{"start": x, "end": y} for x, y in gone])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "text", "kept", "spans"])
 
     return both.mapInArrow(cut, "doc_id long, text string, kept binary, spans array<struct<start:long,end:long>>")
