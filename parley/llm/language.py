@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import chunks, load, prepare, utf8
 
 BUCKETS, DIMENSIONS, RUNS = 1 << 15, 16, (1, 2, 3, 4)
+#: Bytes of text read at a time.
+PIECE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -48,17 +50,19 @@ class Model:
     def probabilities(self, column: pa.Array) -> np.ndarray:
         data, offsets = utf8(column)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for lo, hi in chunks(offsets, 1 << 18):
+        for lo, hi in chunks(offsets, PIECE):
             off = offsets[lo : hi + 1] - offsets[lo]
-            text = data[offsets[lo] : offsets[hi]]
             total, number = np.zeros((hi - lo, len(self.languages))), np.zeros(hi - lo)
-            for bucket, inside in subwords(text, off):
-                bucket = np.where(inside, bucket, BUCKETS)
-                cut = np.minimum(off, len(bucket))
-                number += np.diff(np.concatenate(([0], np.cumsum(inside)))[cut])
-                for c in range(len(self.languages)):
-                    run = np.concatenate(([0.0], np.cumsum(self.weights[:, c][bucket], dtype=np.float64)))
-                    total[:, c] += np.diff(run[cut])
+            # a longer text is read in pieces, each with the start of the next one
+            for start in range(0, max(1, int(off[-1])), PIECE):
+                more = np.clip(off - start, 0, PIECE + RUNS[-1] - 1)
+                for bucket, inside in subwords(data[offsets[lo] + start : offsets[lo] + start + int(more[-1])], more):
+                    bucket = np.where(inside, bucket, BUCKETS)[:PIECE]
+                    cut = np.minimum(more, len(bucket))
+                    number += np.diff(np.concatenate(([0], np.cumsum(inside[:PIECE])))[cut])
+                    for c in range(len(self.languages)):
+                        run = np.concatenate(([0.0], np.cumsum(self.weights[:, c][bucket], dtype=np.float64)))
+                        total[:, c] += np.diff(run[cut])
             out[lo:hi] = total / np.maximum(number, 1)[:, None] + self.bias
         z = out / self.temperature
         z -= z.max(axis=1, keepdims=True)
@@ -66,11 +70,16 @@ class Model:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most so many labelled documents of each language, those of least hash."""
-    some = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    return docs.where("lang is not null and text is not null").select("doc_id", "text").join(F.broadcast(some.select("doc_id", "lang", "h")), "doc_id").orderBy("h", "doc_id", "text").limit(per_language * 64)
+def sample(docs: DataFrame, per_language: int, most: int) -> DataFrame:
+    """(lang, text, h): at most so many labelled documents of each of the `most` commonest languages,
+    those of least hash. Languages are counted first, so that only hashes under a bound, a few more than
+    are taken, are ranked, however many documents there are."""
+    some = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    share = F.least(F.lit(1.0), (per_language + 8 * F.sqrt(F.lit(float(per_language))) + 8) / F.col("n"))
+    low = some.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")  # `most` rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    own = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    return low.withColumn("r", F.row_number().over(own)).where(F.col("r") <= per_language).select("lang", "text", "h")
 
 
 def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +89,10 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, (n / max(1, n.sum())).astype(np.float32)
 
 
-def fit(docs: DataFrame, per_language: int = 400, epochs: int = 6, seed: int = 11, false_rejects: float = 0.002) -> Model:
-    """A model from labelled documents (doc_id, text, lang): at most `per_language` of each
-    language, and 64 languages of that size, are read on the driver as bags of subwords.
+def fit(docs: DataFrame, per_language: int = 400, languages: int = 64, epochs: int = 6, seed: int = 11, false_rejects: float = 0.002) -> Model:
+    """A model from labelled documents (doc_id, text, lang): at most `per_language` of each of the
+    commonest `languages` are read on the driver as bags of subwords. They bound the model that each task
+    gets: 256 kB for each language.
 
     A fifth of the sample calibrates: the temperature that gives it the best likelihood, and the
     confidence under which at most `false_rejects` of its right predictions fall (0.5 at most).
@@ -96,7 +106,7 @@ def fit(docs: DataFrame, per_language: int = 400, epochs: int = 6, seed: int = 1
             columns = [pa.array([int(x) for x in b.column(2).to_pylist()] * 2), pa.array(b.column(0).to_pylist() * 2, pa.string()), pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()), pa.array([f.tobytes() for _, f in made], pa.binary()), pa.array([True] * b.num_rows + [False] * b.num_rows)]
             yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "ids", "shares", "whole"])
 
-    chosen = sample(docs, per_language).select("lang", "text", "h")
+    chosen = sample(docs, per_language, languages)
     rows = chosen.mapInArrow(bags, "h long, lang string, ids binary, shares binary, whole boolean").collect()
     rows = sorted(((r.h, r.lang, bytes(r.ids), bytes(r.shares), r.whole) for r in rows), key=lambda r: (r[0], r[1], not r[4], r[2], r[3]))
     languages = sorted({r[1] for r in rows})
