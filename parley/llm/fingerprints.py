@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ODD, chunks, load, mix, parts, prepare, utf8, words
+from .common import _ODD, chunks, load, mix, prepare, utf8, words
 
 #: Samples of a fingerprint, and numbers of terms: so many that different terms of even the longest
 #: texts do not meet.
@@ -22,6 +22,8 @@ SAMPLES, TERMS = 64, 1 << 62
 #: Terms whose draws are made at a time; bytes of text whose terms share a table of draws, and the
 #: most terms of such a table (1 KB each).
 STEP, SHARE, TABLE = 512, 1 << 18, 1 << 16
+#: Bytes of text of a task that compares neighbours, ranges of ids in it, and ranges at most.
+TASK, RANGES, MOST = 16 << 20, 4, 65_536
 #: For each of four draws and each sample, the factors of a term's halves and an addend.
 _LOW, _HIGH, _PLUS = mix(np.arange(1, 12 * SAMPLES + 1, dtype=np.uint64)).astype(np.uint32).reshape(3, 4, 1, SAMPLES) | np.uint32(1)
 
@@ -132,10 +134,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame):
     """docs in ranges of doc_id, sorted, each range with a copy of the next range's first rows.
 
-    Rows are (bucket, copied, doc_id, text). Ranges are cut at quantiles of doc_id, one for each
-    shuffle partition; only those bounds and each range's least id reach the driver.
+    Rows are (bucket, copied, doc_id, text). Ranges are cut at quantiles of doc_id, RANGES to a task of
+    about TASK bytes of text; only those bounds and each range's least id reach the driver, and there are
+    at most MOST of them. Beyond, ranges grow, which costs sorting but no memory, as rows are streamed.
     """
-    n = parts(docs.sparkSession) // 2
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(MOST // RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK + 1))
+    n = RANGES * tasks
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     ids = docs.select("doc_id", "text")
     if bounds:
@@ -157,7 +162,7 @@ def with_next(docs: DataFrame):
     own = docs.sparkSession.createDataFrame(copies or [(0, -1, None)], "to int, _b int, low long")
     copied = ids.join(F.broadcast(own), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("low"))).select(F.col("to").alias("bucket"), F.lit(True).alias("copied"), "doc_id", "text")
     rows = ids.select("bucket", F.lit(False).alias("copied"), "doc_id", "text").unionByName(copied)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "copied", "doc_id", "text")
+    return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "copied", "doc_id", "text")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
