@@ -48,9 +48,9 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     if budget >= total:
         return list(counts)
     words = lambda take: sum(n * t for n, t in zip(lengths, take, strict=True))
-    best, last = _fit(lengths, counts, budget, budget, LAST), LAST
+    best, last = _fit(lengths, counts, budget, budget, LAST), 0
     while words(best) < budget and last < budget:
-        last = min(4 * last, budget)
+        last = min(max(LAST, 4 * last), budget)
         steps = sum(min(c, budget // n, last // n + 1).bit_length() for n, c in zip(lengths, counts, strict=True))
         if steps * (last + max(lengths)) // 8 > ROOM:
             break
