@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +30,35 @@ def intent_tfidf(signals: DataFrame) -> DataFrame:
     return w.select("conversation_id", "term", (F.col("w") / length).alias("weight"))
 
 
-def archetypes(signals: DataFrame, ks: range = range(3, 9), features: int = 1 << 12) -> DataFrame:
-    """(conversation_id, cluster) of the k with the best silhouette; 0 for all where none fits."""
-    rows = intent_tfidf(signals).groupBy("conversation_id").agg(F.collect_list(F.struct("term", "weight")).alias("tw"))
-    n = rows.count()
-    ks = [k for k in ks if k < n]
-    if not ks:
-        return rows.select("conversation_id", F.lit(0).alias("cluster"))
-    # weights of hashed terms: each term is repeated in proportion to its weight
-    words = F.flatten(F.transform("tw", lambda x: F.array_repeat(x["term"], F.greatest(F.lit(1), F.round(x["weight"] * 50).cast("int")))))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(rows.select("conversation_id", words.alias("words")))
-    x = Normalizer(inputCol="tf", outputCol="features").transform(hashed).select("conversation_id", "features").cache()
+def tfidf_vectors(signals: DataFrame, vocabulary: int = 1 << 18) -> DataFrame:
+    """(conversation_id, features): intent_tfidf as unit vectors. `vocabulary` bounds the terms that the
+    driver holds; there are at most as many as intents and pairs of intents."""
+    docs = terms(signals).groupBy("conversation_id").agg(F.collect_list("term").alias("terms"))
+    tf = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary).fit(docs).transform(docs)
+    idf = IDF(inputCol="tf", outputCol="_").fit(tf).idf.toArray() + 1
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="w").transform(tf)
+    return Normalizer(inputCol="w", outputCol="features").transform(scaled).select("conversation_id", "features")
+
+
+def archetypes(signals: DataFrame, ks: range = range(3, 9), starts: int = 3) -> DataFrame:
+    """(conversation_id, cluster) by k-means over TF-IDF vectors: for each k the best of so many starts,
+    of the ks the one with the best silhouette, the least of equals; 0 for all where none fits."""
+    x = tfidf_vectors(signals).cache()
     # no more clusters than different vectors
-    distinct = x.select("features").distinct().count()
-    ks = sorted({min(k, distinct) for k in ks if distinct > 1})
+    n, distinct = x.count(), x.select("features").distinct().count()
+    ks = sorted({min(k, distinct) for k in ks if k < n and distinct > 1})
     best, judge = None, ClusteringEvaluator()
     for k in ks:
-        made = KMeans(k=k, seed=42, initSteps=2).fit(x).transform(x)
+        model = min((KMeans(k=k, seed=seed, initSteps=2).fit(x) for seed in range(42, 42 + starts)), key=lambda m: m.summary.trainingCost)
+        made = model.transform(x)
         if made.select("prediction").distinct().count() < 2:
             continue
         score = judge.evaluate(made)
-        if best is None or score > best[0]:
+        if best is None or score > best[0] + 1e-12:
             best = (score, made)
-    if best is None:
-        return rows.select("conversation_id", F.lit(0).alias("cluster"))
-    return best[1].select("conversation_id", F.col("prediction").alias("cluster"))
+    out = best[1].select("conversation_id", F.col("prediction").alias("cluster")) if best else x.select("conversation_id", F.lit(0).alias("cluster"))
+    x.unpersist()
+    return out
 
 
 def archetype_members(assigned: DataFrame, convs: DataFrame) -> DataFrame:

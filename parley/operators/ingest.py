@@ -81,10 +81,36 @@ def drop_off_turn(outcome_column: str = "outcome") -> Column:
     return F.when(~F.col(outcome_column).isin(*CONVERTED), last)
 
 
+#: Forms of a time besides ISO 8601; a section in brackets may be missing.
+_CLOCK = ("", " HH:mm[:ss]", " HH:mm:ss.SSS", " h:mm[:ss] a")
+_DATES = ("d.M.yyyy", "M/d/yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy")
+CREATED_FORMS = tuple(f"{date}{clock}" for date in _DATES for clock in _CLOCK)
+_OFFSET = r"\s*(Z|z|UTC|GMT|[+-][0-9]{2}(?::?[0-9]{2})?)$"
+
+
 def created(text: Column) -> Column:
-    """UTC time from the formats that transcripts use; null where none fits."""
-    formats = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """UTC time of mixed forms; null where none fits. The session's time zone should be UTC.
+
+    ISO 8601 with T or a blank, dashes or slashes, with or without seconds, fractions and an offset
+    (Z, UTC, +hh, +hhmm, +hh:mm, after a blank or not); and day.month.year, month/day/year and names
+    of months, each with or without a time of 24 or 12 hours and an offset. Without an offset it is UTC.
+    """
+    t = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s*", "")  # the name of a day
+    local = F.regexp_replace(t, r"(?<=[0-9M])(?<![0-9]{4}-[0-9]{2})(?<!^[0-9]{4})" + _OFFSET, "")
+    iso = F.regexp_replace(local, r"^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})", "$1-$2-$3")
+    parsed = F.when(iso.rlike(r"^[0-9]{4}(-[0-9]{1,2}){0,2}([T ]|$)"), iso.try_cast("timestamp"))
+    plain = F.regexp_replace(F.regexp_replace(local, ",", " "), r"\s+", " ")
+    zone = F.when(F.length(local) < F.length(t), F.regexp_extract(t, _OFFSET, 1))
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    minutes = F.when(zone.rlike("^[+-]"), sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.coalesce(F.regexp_extract(zone, ":?([0-9]{2})$", 1).try_cast("int") * (F.length(zone) > 3).cast("int"), F.lit(0)))).otherwise(0)
+    naive = F.coalesce(parsed, *[F.try_to_timestamp(plain, F.lit(f)) for f in CREATED_FORMS])
+    return naive - F.make_dt_interval(mins=minutes)
+
+
+def created_report(raw: DataFrame, column: str = "created") -> DataFrame:
+    """Rows, and of them those without a time and those whose time is in no known form."""
+    text = F.coalesce(F.trim(column), F.lit(""))
+    return raw.agg(F.count("*").alias("n"), F.count_if(text == "").alias("n_missing"), F.count_if((text != "") & created(F.col(column)).isNull()).alias("n_unparsed"))
 
 
 def first_of_id(raw: DataFrame) -> DataFrame:

@@ -16,14 +16,14 @@ LABELER_CHARS = 2000
 
 def turns_to_label(turns: DataFrame, labels: DataFrame | None = None, min_client: int = 2, first: int | None = None) -> DataFrame:
     """Client and agent turns with text, of conversations with enough client turns, that have no
-    label yet. The anti join is on the conversation, so all of it shares one partitioning."""
+    label yet; in order only where the `first` so many are asked. The anti join is on the
+    conversation, so all of it shares one partitioning."""
     said = turns.where(strip(F.coalesce("raw_text", F.lit(""))) != "")
     enough = said.where("role = 'client'").groupBy("conversation_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_client)
     out = said.where("role in ('client', 'agent')").join(enough, "conversation_id", "left_semi")
     if labels is not None:
         out = out.join(labels.select("conversation_id", "turn_index"), ["conversation_id", "turn_index"], "left_anti")
-    out = out.orderBy("conversation_id", "turn_index")
-    return out if first is None else out.limit(first)
+    return out if first is None else out.orderBy("conversation_id", "turn_index").limit(first)
 
 
 def label_turns(turns: DataFrame, labeler: Callable[[list[tuple[str, str]]], list[str | None]]) -> DataFrame:
@@ -80,7 +80,8 @@ def fully_labeled(turns: DataFrame, labels: DataFrame) -> DataFrame:
     return expected.join(labelled, "conversation_id").where("n_labeled >= n_expected")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "turn_id", order: str = "batch") -> DataFrame:
-    """The latest row of each key."""
-    own = Window.partitionBy(key).orderBy(F.desc(order))
-    return old.unionByName(new).withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r")
+def upsert(old: DataFrame, new: DataFrame, key: str = "turn_id", order: str = "batch", reset: bool = False) -> DataFrame:
+    """The latest row of each key, of new rows alone with `reset`. Of rows of one key and `order` the
+    greatest by the other columns stays."""
+    own = Window.partitionBy(key).orderBy(F.desc(order), *[F.desc(c) for c in new.columns if c not in (key, order)])
+    return (new if reset else old.unionByName(new)).withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r")

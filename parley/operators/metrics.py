@@ -70,6 +70,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
+def histogram(df: DataFrame, column: str, by: str) -> DataFrame:
+    """How often each value of a column occurs, for each value of another."""
+    return df.groupBy(by, column).agg(F.count("*").alias("n"))
+
+
 def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max; approximate quartiles hold a
     sketch instead of the column's distinct values."""

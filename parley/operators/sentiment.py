@@ -69,12 +69,24 @@ def trajectory_summary(features: DataFrame, convs: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if("converted").alias("converted"), F.count_if(~F.col("converted")).alias("lost"))
 
 
+def stratified(rows: DataFrame, folds: int, buckets: int = 64) -> DataFrame:
+    """rows (conversation_id, y, ...) with `fold`: in the order of a hash, the rows of each class are
+    dealt in turn, so that folds differ by one row of a class at most. Rows are ranked in buckets of the
+    hash; only the buckets' counts are summed over a whole class."""
+    h = F.xxhash64("conversation_id")
+    rows = rows.withColumn("_b", F.pmod(h, F.lit(buckets)))
+    sums = Window.partitionBy("y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("y", "_b").agg(F.count("*").alias("_n")).select("y", "_b", F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("y", "_b").orderBy(h, "conversation_id"))
+    ranked = rows.withColumn("_r", own).join(before, ["y", "_b"])
+    return ranked.withColumn("fold", F.pmod(F.col("_before") + F.col("_r"), F.lit(folds))).drop("_b", "_r", "_before")
+
+
 def logistic_auc(features: DataFrame, convs: DataFrame, folds: int = 5) -> DataFrame:
-    """Mean area under the ROC curve of a logistic model over the features, by folds of a hash of
-    the conversation within each class; NaN with one class or under ten conversations."""
+    """Mean area under the ROC curve of a logistic model over the features, by stratified folds; NaN
+    with one class or under ten conversations."""
     both = features.select("conversation_id", *FEATURES).join(convs.select("conversation_id", F.col("converted").cast("double").alias("y")), "conversation_id")
-    own = Window.partitionBy("y", F.pmod(F.xxhash64("conversation_id"), F.lit(64))).orderBy("conversation_id")
-    both = both.withColumn("fold", F.pmod(F.row_number().over(own) + F.xxhash64("conversation_id"), F.lit(folds)))
+    both = stratified(both, folds)
     size = both.agg(F.count("*").alias("n"), F.countDistinct("y").alias("k")).first()
     if size.n < 10 or size.k < 2:
         return features.sparkSession.range(1).select(F.lit(float("nan")).alias("auc"), F.lit(size.n).cast("long").alias("n"))

@@ -86,10 +86,16 @@ def transition_examples(signals: DataFrame, first: str, then: str, n: int = 3) -
     return found.orderBy("conversation_id").limit(n)
 
 
+def transcripts(examples: DataFrame, turns: DataFrame) -> DataFrame:
+    """The turns of the conversations that `examples` names, each once."""
+    named = examples.select("conversation_id").distinct()
+    return turns.join(named, "conversation_id", "left_semi").select("conversation_id", "turn_index", "role", "raw_text")
+
+
 def pattern_examples(signals: DataFrame, convs: DataFrame, patterns: DataFrame, n: int = 2) -> DataFrame:
-    """n lost conversations for each pattern. The few patterns are broadcast before the rows are
-    made distinct, so that only their runs are shuffled."""
+    """n lost conversations for each pattern. Patterns are joined before the rows are made distinct;
+    Spark broadcasts them where they are few, so that only their runs are shuffled."""
     lost = convs.where("not converted").select("conversation_id")
-    hits = ngrams(signals).join(F.broadcast(patterns.select("pattern")), "pattern").select("pattern", "conversation_id").distinct().join(lost, "conversation_id", "left_semi")
+    hits = ngrams(signals).join(patterns.select("pattern"), "pattern").select("pattern", "conversation_id").distinct().join(lost, "conversation_id", "left_semi")
     own = Window.partitionBy("pattern").orderBy("conversation_id")
     return hits.withColumn("r", F.row_number().over(own)).where(F.col("r") <= n).select(F.array_join("pattern", " > ").alias("pattern"), "conversation_id", "r")

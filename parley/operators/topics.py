@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import worth_embedding
+from ..sources.scratch import checkpointed
 
 #: Least turns of a cluster, and dimensions that turns are reduced to.
 MIN_CLUSTER, DIMENSIONS = 5, 20
@@ -32,7 +33,9 @@ def embed(df: DataFrame, text: str = "raw_text", features: int = 256, n: int = 3
 
 
 def reduce(df: DataFrame, k: int, column: str = "embedding") -> DataFrame:
-    """df with `reduced`, its leading principal components after scaling to unit length."""
+    """df with `reduced`, its min(k, width) leading principal components after scaling to unit length."""
+    width = df.where(F.col(column).isNotNull()).select(F.size(column).alias("n")).head()
+    k = min(k, width.n) if width else k
     x = Normalizer(inputCol="_v", outputCol="_u").transform(df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>"))))
     return PCA(k=k, inputCol="_u", outputCol="_p").fit(x).transform(x).withColumn("reduced", vector_to_array("_p")).drop("_v", "_u", "_p")
 
@@ -40,13 +43,13 @@ def reduce(df: DataFrame, k: int, column: str = "embedding") -> DataFrame:
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the least id that each node reaches. Rounds of joins, each written to the
     checkpoint folder; pointers skip a step in every round."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    now = nodes.select("id", F.col("id").alias("label")).checkpoint()
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    now = checkpointed(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = both.join(now, both.a == now.id).groupBy("b").agg(F.min("label").alias("near"))
         step = now.join(near, now.id == near.b, "left").select("id", "label", F.least("label", "near").alias("new"))
         roots = now.select(F.col("id").alias("new"), F.col("label").alias("root"))
-        nxt = step.join(roots, "new", "left").select("id", "label", F.least("new", "root").alias("new")).checkpoint()
+        nxt = checkpointed(step.join(roots, "new", "left").select("id", "label", F.least("new", "root").alias("new")))
         if nxt.where("label != new").isEmpty():
             return now
         now = nxt.select("id", F.col("new").alias("label"))
@@ -56,16 +59,16 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int = MIN_CLUST
     """(id, cluster) from points (id long, reduced array<double>): dense points within eps of
     each other are one cluster, near ones join the nearest, and the rest is noise (null).
 
-    Equal points count as often as they occur but are compared once. A cluster's number is its
-    rank by size, then least id.
+    Equal points count as often as they occur but are compared once. A cluster's number is the least
+    id of its dense points; stable_ids names it by its turns, cluster_sizes ranks it.
     """
-    one = points.groupBy("reduced").agg(F.min("id").alias("id"), F.count("*").alias("weight")).checkpoint()
+    one = checkpointed(points.groupBy("reduced").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
     x = one.select("id", "weight", array_to_vector("reduced").alias("v"))
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=4 * eps, numHashTables=4, seed=42).fit(x)
     near = lsh.approxSimilarityJoin(x, x, eps, "d").where("datasetA.id < datasetB.id")
-    near = near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.weight").alias("wa"), F.col("datasetB.weight").alias("wb"), "d").checkpoint()
+    near = checkpointed(near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.weight").alias("wa"), F.col("datasetB.weight").alias("wb"), "d"))
     degree = near.select(F.col("a").alias("id"), F.col("wb").alias("w")).union(near.select("b", "wa")).groupBy("id").agg(F.sum("w").alias("w"))
-    core = one.join(degree, "id", "left").where(F.col("weight") + F.coalesce("w", F.lit(0)) >= min_samples).select("id").checkpoint()
+    core = checkpointed(one.join(degree, "id", "left").where(F.col("weight") + F.coalesce("w", F.lit(0)) >= min_samples).select("id"))
     inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
     labels = smallest_reachable(core, inner)
     # border points take the label of the nearest dense point
@@ -74,8 +77,22 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int = MIN_CLUST
     named = one.join(labels.unionByName(border), "id", "left").select("reduced", "label")
     all_ = points.join(named, "reduced").select("id", "label")
     sizes = all_.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    ranked = sizes.withColumn("cluster", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "label")) - 1)
-    return all_.join(F.broadcast(ranked.select("label", "cluster")), "label", "left").select("id", "cluster")
+    return all_.join(sizes.select("label", F.col("label").alias("cluster")), "label", "left").select("id", "cluster")
+
+
+def stable_ids(assigned: DataFrame, cluster_type: str, cluster: str = "cluster") -> DataFrame:
+    """(cluster, cluster_id): an id that is the same in every run that finds the same cluster, from the
+    type and the least turn_id of its members."""
+    least = assigned.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.min("turn_id").alias("_t"))
+    return least.select(cluster, F.md5(F.concat_ws(":", F.lit(cluster_type), "_t")).alias("cluster_id"))
+
+
+def turn_coords(points: DataFrame, assigned: DataFrame, cluster_type: str, cluster: str = "cluster") -> DataFrame:
+    """(cluster_type, turn_id, x, y, cluster_id) from points (turn_id, x, y) and assigned (turn_id, cluster):
+    every point, the id null for noise. Keyed by type and turn, so that types do not replace each other."""
+    own = assigned.select("turn_id", F.col(cluster).alias("_c"))
+    named = own.join(stable_ids(own, cluster_type, "_c"), "_c").select("turn_id", "cluster_id")
+    return points.join(named, "turn_id", "left").select(F.lit(cluster_type).alias("cluster_type"), "turn_id", "x", "y", "cluster_id")
 
 
 def cluster_sizes(assigned: DataFrame, cluster: str = "cluster_id") -> DataFrame:

@@ -125,6 +125,27 @@ def created_norm(x):
     return x.table("events").select("event_id", ingest.created(text).alias("created"))
 
 
+def _forms(x):
+    """Times of events in forms that transcripts mix."""
+    k, ts = F.col("event_id") % 8, F.col("ts")
+    at = lambda form, c=ts: F.date_format(c, form)
+    forms = [at("yyyy-MM-dd HH:mm:ss.SSS"), at("yyyy-MM-dd HH:mm:ss'+00:00'"), at("yyyy-MM-dd HH:mm:ss' +0300'", ts + F.expr("interval 3 hours")), at("yyyy-MM-dd'T'HH:mm:ss'.5Z'"), at("yyyy/MM/dd HH:mm"), at("M/d/yyyy h:mm a"), at("'Mon, 'MMM d, yyyy HH:mm:ss' -05:30'", ts - F.expr("interval 330 minutes"))]
+    text = F.lit("soon")
+    for i, form in enumerate(forms):
+        text = F.when(k == i, form).otherwise(text)
+    return x.table("events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.lit(None)).otherwise(text).alias("created"))
+
+
+@query("select event_id, case when event_id % 50 = 0 or event_id % 8 = 7 then 'none' else strftime(case when event_id % 8 = 0 then date_trunc('milliseconds', ts) when event_id % 8 = 3 then date_trunc('second', ts) + interval 500 millisecond when event_id % 8 in (4, 5) then date_trunc('minute', ts) else date_trunc('second', ts) end, '%Y-%m-%d %H:%M:%S.%g') end as created from events")
+def created_forms(x):
+    return _forms(x).select("event_id", F.coalesce(F.date_format(ingest.created(F.col("created")), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("none")).alias("created"))
+
+
+@query("select count(*) as n, count(*) filter (event_id % 50 = 0) as n_missing, count(*) filter (event_id % 50 <> 0 and event_id % 8 = 7) as n_unparsed from events")
+def created_report(x):
+    return ingest.created_report(_forms(x))
+
+
 # --- metrics -----------------------------------------------------------------------------------
 
 
@@ -223,7 +244,7 @@ def message_count_stats(x):
 
 @query(COUNTS + "select has_tools, n_all, count(*) as n from counts group by all")
 def message_count_hist(x):
-    return ingest.message_counts(x.parsed).groupBy("has_tools", F.col("n_all").cast("long").alias("n_all")).agg(F.count("*").alias("n"))
+    return metrics.histogram(ingest.message_counts(x.parsed).withColumn("n_all", F.col("n_all").cast("long")), "n_all", "has_tools")
 
 
 @query(f"select conversation_id, printf('[%s] %s  %s  %s', case when converted then '✓' else '✗' end, strftime({CREATED}, '%Y-%m-%d %H:%M'), platform, case when conv_id % 3 = 0 then 'user_' || conv_id % 37 else 'name_' || conv_id % 41 end) as label from convs", "convs")
@@ -244,6 +265,12 @@ def conversation_list(x):
     return listing.conversation_list(convs, x.annotations, converted=False, unannotated=True, hide_low_quality=True).select("conversation_id", "created")
 
 
+@query(f"select conversation_id, {CREATED} as created from convs where converted and conv_id % 7 = 3", "convs")
+def conversation_list_taken_over(x):
+    flags = x.parsed.select("conversation_id", ingest.is_low_quality().alias("low_quality"), ingest.has_operator_intervention().alias("operator_intervention"))
+    return listing.conversation_list(x.full.join(flags, "conversation_id"), converted=True, intervention=True).select("conversation_id", "created")
+
+
 # --- labels ------------------------------------------------------------------------------------
 
 CLIENT_TURNS = """, t as (select cast(conv_id as varchar) as conversation_id, turn as turn_index, conv_id || ':' || turn as turn_id, case when role = 'user' then 'client' else 'agent' end as role, text as raw_text, conv_id from conversations where role in ('user', 'assistant')),
@@ -302,7 +329,7 @@ def labels_upsert(x):
     return labels.upsert(old, new)
 
 
-@query()
+@query(CLIENT_TURNS.replace(", t as", "with t as", 1) + " select turn_id, case when role = 'client' then 'greeting' else 'follow_up' end as intent, case when role = 'client' then 0.9 else 0.8 end::double as intent_confidence, case when role = 'client' then 0.0 end::double as sentiment from todo where length(left(raw_text, 2000)) % 10 <> 0")
 def label_turns(x):
     def labeler(asked):
         return [None if len(text) % 10 == 0 else '{"intent": "greeting", "intent_confidence": 0.9, "sentiment": 0}' if role == "client" else '{"act": "follow_up", "confidence": 0.8}' for role, text in asked]
@@ -398,6 +425,11 @@ def pattern_examples(x):
     return sequences.pattern_examples(x.signals, x.convs, sequences.lost_patterns(x.signals, x.convs, top=12)).withColumn("r", F.col("r").cast("long"))
 
 
+@query(STEPS + ", hit as (select conversation_id from steps where from_state = 'greeting' and to_state = 'gave_price' group by 1 order by 1 limit 3) select cast(conv_id as varchar) as conversation_id, turn as turn_index, case when role = 'user' then 'client' else 'agent' end as role, text as raw_text from conversations where role in ('user', 'assistant') and cast(conv_id as varchar) in (select conversation_id from hit)", "convs", "signals")
+def example_transcripts(x):
+    return sequences.transcripts(sequences.transition_examples(x.signals, "greeting", "gave_price"), x.turns)
+
+
 # --- sentiment ---------------------------------------------------------------------------------
 
 FEATURE_SQL = """, v as (select conversation_id, sentiment as v, row_number() over (partition by conversation_id order by turn_index) - 1 as i from {0} where role = 'client' and sentiment is not null),
@@ -435,12 +467,17 @@ def avg_trajectory(x):
     FEATURE_SQL.format("ev")
     + ", c as (select distinct conversation_id, converted::int as y from ev), j as (select * from features join c using (conversation_id)), r as ("
     + " union all ".join(f"select '{f}' as feature, case when stddev_pop({f}) = 0 or stddev_pop(y) = 0 then 0 else corr({f}, y) end as r from j" for f in sentiment.FEATURES)
-    + ") select feature, round(r, 6) as r, case when r >= 0 then 'higher → converts' else 'higher → loses' end as direction from r",
+    # two-sided p by Simpson's rule over the density of r, (1 - r * r) ** ((n - 4) / 2)
+    + """), k as (select count(*)::double as n from j), step as (select unnest(range(0, 4001)) as i),
+p as (select feature, any_value(r) as r, case when any_value(r) = 0 then 1.0 else least(1.0, 2 * exp(lgamma((any_value(n) - 1) / 2) - lgamma(0.5) - lgamma((any_value(n) - 2) / 2)) * (1 - abs(any_value(r))) / 4000 / 3
+  * sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * pow(greatest(0, 1 - pow(abs(r) + (1 - abs(r)) * i / 4000, 2)), (n - 4) / 2))) end as p_value from r cross join k cross join step group by feature),
+q as (select *, row_number() over (order by p_value) as pos, count(*) over () as m from p)
+select feature, round(r, 6) as r, round(p_value, 6) as p_value, round(least(1.0, min(p_value * m / pos) over (order by pos desc)), 6) as p_adj, case when r >= 0 then 'higher → converts' else 'higher → loses' end as direction from q""",
     "ev",
 )
 def feature_correlations(x):
     convs = x.events.select("conversation_id", "converted").distinct()
-    return sentiment.correlations(sentiment.trajectory_features(x.events), convs).select("feature", F.round("r", 6).alias("r"), "direction")
+    return sentiment.correlations(sentiment.trajectory_features(x.events), convs).select("feature", *[F.round(c, 6).alias(c) for c in ("r", "p_value", "p_adj")], "direction")
 
 
 @query(FEATURE_SQL.format("signals") + "select count(*) as n, count(*) filter (converted) as converted, count(*) filter (not converted) as lost from features join convs using (conversation_id)", "convs", "signals")
@@ -560,9 +597,18 @@ def density_clusters(x):
 
 @query()
 def turn_coords(x):
-    corpus = topics.embed(topics.cluster_corpus(x.turns, x.convs))
+    """From text to coordinates with cluster ids: one projection serves clusters and display."""
+    corpus = topics.reduce(topics.embed(topics.cluster_corpus(x.turns, x.convs)), topics.DIMENSIONS).select("turn_id", F.xxhash64("turn_id").alias("id"), "reduced")
+    found = topics.density_clusters(corpus.select("id", "reduced"), 0.35).join(corpus.select("id", "turn_id"), "id").select("turn_id", "cluster")
     r = F.col("reduced")
-    return topics.reduce(corpus, 2).select("turn_id", r[0].alias("x"), r[1].alias("y"))
+    return topics.turn_coords(corpus.select("turn_id", r[0].alias("x"), r[1].alias("y")), found, "faq")
+
+
+@query(", ids as (select cluster_id as c, md5('faq:' || min(turn_id)) as id from members where cluster_id is not null group by 1) select 'faq' as cluster_type, turn_id, x, y, coalesce(id, 'noise') as cluster_id from members left join ids on c = cluster_id", "members")
+def turn_coords_clusters(x):
+    m = x.members
+    out = topics.turn_coords(m.select("turn_id", "x", "y"), m.select("turn_id", "cluster_id"), "faq", "cluster_id")
+    return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit("noise")))
 
 
 # --- annotations -------------------------------------------------------------------------------

@@ -117,6 +117,74 @@ def test_ids(spark):
     assert [r[0] for r in raw.select(ingest.conversation_id()).collect()] == ["u", "2", "c"]
 
 
+TIMES = {
+    "2026-01-01 10:00:00.123": "10:00:00.123", "2026-01-01 10:00:00+00:00": "10:00:00", "2026-01-01T10:00:00.5Z": "10:00:00.5", "2026-01-01 10:00": "10:00:00",
+    "2026-01-01T12:30:00+02:30": "10:00:00", "2026-01-01 05:00:00 -0500": "10:00:00", "2026/01/01 10:00:05": "10:00:05", "01.01.2026 10:00": "10:00:00", "1/1/2026 10:00 AM": "10:00:00",
+    "Jan 1, 2026 10:00:00 UTC": "10:00:00", "Thu, 1 Jan 2026 10:00:00 +0000": "10:00:00", "2026-01-01": "00:00:00", " 2026-01-01 10:00:00 ": "10:00:00", "20:26": None, "soon": None, "": None, None: None, "2026-13-01": None,
+}
+
+
+def test_created(spark):
+    df = spark.createDataFrame([(t, n, 1) for n, t in enumerate(TIMES)], "created string, n int, x int")
+    got = {r.created: r.at for r in df.select("created", ingest.created(F.col("created")).cast("string").alias("at")).collect()}
+    assert got == {t: None if v is None else f"2026-01-01 {v}" for t, v in TIMES.items()}
+    assert tuple(ingest.created_report(df).first()) == (len(TIMES), 2, 3)
+
+
+def test_labeler_chars(spark):
+    turns = spark.createDataFrame([("a", 0, "client", "x" * 5000), ("a", 1, "client", "short")], "conversation_id string, turn_index int, role string, raw_text string")
+    got = labels.label_turns(turns, lambda asked: [str(len(t)) for _, t in asked]).collect()
+    assert sorted((r.raw, len(r.raw_text)) for r in got) == [("2000", 5000), ("5", 5)]
+
+
+def test_upsert(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], "turn_id string, intent string, batch int")
+    new = spark.createDataFrame([("a", "y", 2), ("a", "z", 2)], old.schema)
+    assert sorted(map(tuple, labels.upsert(old, new).collect())) == [("a", "z", 2), ("b", "x", 1)]
+    assert [tuple(r) for r in labels.upsert(old, new, reset=True).collect()] == [("a", "z", 2)]
+
+
+def test_folds(spark):
+    rows = spark.createDataFrame([(str(i), float(i % 4 == 0)) for i in range(203)], "conversation_id string, y double")
+    got = sentiment.stratified(rows, 5).groupBy("y", "fold").count().collect()
+    for y in (0.0, 1.0):
+        n = [r["count"] for r in got if r.y == y]
+        assert len(n) == 5 and max(n) - min(n) <= 1
+
+
+def test_adjusted_p(spark):
+    rng = random.Random(2)
+    rows = [(str(i), *[rng.gauss(0.4 * k * (i % 2), 1) for k in range(8)]) for i in range(60)]
+    convs = spark.createDataFrame([(str(i), i % 2 == 1, "") for i in range(60)], CONVS)
+    got = sorted(sentiment.correlations(spark.createDataFrame(rows, ["conversation_id", *sentiment.FEATURES]), convs).collect(), key=lambda r: r.p_value)
+    assert all(abs(r.p_value - correlation_p(r.r, 60)) < 1e-9 for r in got)
+    for k, r in enumerate(got):
+        assert r.p_adj == pytest.approx(min(1, min(x.p_value * 8 / (j + 1) for j, x in enumerate(got) if j >= k)))
+
+
+def test_tfidf_vectors(spark):
+    s = signals(spark, {"a": ["x", "y", "x"], "b": ["x"], "c": ["y", "y"]})
+    want = {}
+    for r in archetypes.intent_tfidf(s).collect():
+        want.setdefault(r.conversation_id, []).append(r.weight)
+    for r in archetypes.tfidf_vectors(s).collect():
+        assert sorted(v for v in r.features.toArray() if v) == pytest.approx(sorted(want[r.conversation_id]))
+
+
+def test_reduce_narrow(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0, float(i * i)]) for i in range(9)], "id long, embedding array<double>")
+    assert all(len(r.reduced) == 3 for r in topics.reduce(df, 20).collect())
+
+
+def test_stable_ids(spark):
+    one = spark.createDataFrame([("b:1", 7), ("a:2", 7), ("c:1", 9), ("d:1", None)], "turn_id string, cluster long")
+    points = one.select("turn_id", F.lit(0.5).alias("x"), F.lit(1.5).alias("y"))
+    got = {r.turn_id: r.cluster_id for r in topics.turn_coords(points, one, "faq").collect()}
+    again = {r.turn_id: r.cluster_id for r in topics.turn_coords(points, one.withColumn("cluster", F.col("cluster") + 100), "faq").collect()}
+    other = {r.turn_id: r.cluster_id for r in topics.turn_coords(points, one, "failure").collect()}
+    assert got == again and got["a:2"] == got["b:1"] != got["c:1"] and got["d:1"] is None and other["a:2"] != got["a:2"]
+
+
 def test_weeks(spark):
     df = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-20",)], "d string").select(F.to_timestamp("d").alias("created"), F.lit(True).alias("converted"))
     got = [(str(r.period), r.total, r.label) for r in metrics.by_period(df, "weekly").orderBy("period").collect()]

@@ -40,5 +40,17 @@ def test_rows_only(spark, name):
         assert math.isnan(got[0].auc) or 0 <= got[0].auc <= 1
     elif name == "label_turns":
         assert all(r.intent in ("greeting", "follow_up") for r in got)
+    elif name in ("archetype_clusters", "archetype_members"):
+        sizes = Counter(r.cluster for r in got)
+        assert 1 <= len(sizes) <= 8 and len({r.conversation_id for r in got}) == len(got)
+        assert name == "archetype_clusters" or all(r.outcome in ("closed", "human-closed", "lost", "abandoned") for r in got)
+    elif name == "density_clusters":
+        sizes = Counter(r.cluster for r in got)
+        assert all(n >= 5 for c, n in sizes.items() if c is not None) and len({r.id for r in got}) == len(got)
+        assert all(c in {r.id for r in got if r.cluster == c} for c in sizes if c is not None)
+    elif name == "turn_coords":
+        sizes = Counter(r.cluster_id for r in got)
+        assert len({r.turn_id for r in got}) == len(got) and {r.cluster_type for r in got} == {"faq"}
+        assert all(math.isfinite(r.x) and math.isfinite(r.y) for r in got) and all(n >= 5 for c, n in sizes.items() if c is not None)
     else:
-        assert got
+        raise AssertionError(f"{name} has neither SQL nor properties")
