@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import bpe, language, lines, mixing, ngram_join
-from parley.llm.common import load, prepare, save
+from parley.llm.common import load, save
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the classifier rejects."""
-    prepare(spark)
     model = language.fit(docs.where(language.learnable()))
     return language.predict(docs, model).where("not rejected").select(*docs.columns)
 
@@ -37,7 +36,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids)."""
-    prepare(spark)
     coded = bpe.encode(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

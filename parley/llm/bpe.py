@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, prepare
+from .common import load
 
 #: Symbols merged together at most, and pre-tokens a task remembers before it starts anew.
 SYMBOLS, REMEMBERED = 1 << 20, 400_000
@@ -177,6 +177,5 @@ def _mapped(docs: DataFrame, source: str, target: str, kind: str, path: str | No
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     coded = decode(encode(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, prepare, utf8
+from .common import load, utf8
 
 #: The template's fixed parts.
 BEGIN, MIDDLE, END = b"### ", b": ", b"</turn>\n"
@@ -126,7 +126,6 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

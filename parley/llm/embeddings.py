@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, prepare, save
+from .common import load, save
 from .components import components
 
 #: Vectors of a block, and of the part of it that is multiplied at a time.
@@ -251,7 +251,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     infinity, and vectors of different widths, link with nothing. Repeated rows link with each
     other; a null vec_id links with nothing. Other columns are not read.
     """
-    prepare(vectors.sparkSession)
     named = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("good", usable())
     good = save(named.where("good").drop("good"))
     one, links = near_links(good, threshold)

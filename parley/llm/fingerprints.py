@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ODD, chunks, load, mix, prepare, utf8, words
+from .common import _ODD, chunks, load, mix, utf8, words
 
 #: Samples of a fingerprint, and numbers of terms: so many that different terms of even the longest
 #: texts do not meet.
@@ -218,6 +218,5 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     out = compare_edited(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, load, prepare, utf8
+from .common import chunks, load, utf8
 
 BUCKETS, DIMENSIONS, RUNS = 1 << 15, 16, (1, 2, 3, 4)
 #: Bytes of text read at a time.
@@ -185,7 +185,6 @@ def learnable() -> F.Column:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     docs = load(spark, sf_dir, "documents")
     model = fit(docs.where(learnable()))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, load, prepare, save
+from .common import drop, load, save
 from .components import link_buckets
 
 #: Characters of the shingles that are compared: short ones, so that a line of 39 characters or more
@@ -145,7 +145,6 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     full are one document and come out alike; rows that share only a doc_id are told apart by
     their texts. Columns named n_lines or n_removed are replaced; all others stay.
     """
-    prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = lines_of(docs.select("doc_id", "text"))
     place = F.struct("doc_id", "pos", "th")

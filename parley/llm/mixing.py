@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, load, prepare, save
+from .common import drop, load, save
 
 #: Words: runs of anything but these blanks (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,20 +99,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     them is taken is not told apart. Columns of these names that docs already has are replaced.
     An empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
     mine = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c not in mine]
     sized = docs.select(*kept).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     small = save(sized.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_s"), "size"))
     chosen = save(choose(small, weights, share, seed))
     drop(small)
-    if set(kept) == {"doc_id", "source"} or "text" not in kept:
-        return chosen
     # repeated doc_ids: the k-th row of one (doc_id, source, size) has the k-th choice
     order = Window.partitionBy("doc_id", "_s", "size")
-    left = sized.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    left = sized.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("_id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
     twice = chosen.groupBy("doc_id", "_s", "size").count().where("count > 1").limit(1)
-    right = chosen.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("doc_id")
+    right = chosen.withColumn("_id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))).drop("doc_id")
     on = ["_id", "_s", "size"]
     if not twice.isEmpty():
         left = left.withColumn("_k", F.row_number().over(order.orderBy("text")))
@@ -157,7 +154,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    prepare(spark)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     small = save(docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_s"), size.alias("size")))
     return choose(small, (3, 1, 2), 1.5, 17).drop("_s")

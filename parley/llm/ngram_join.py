@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_part, deal, drop, load, prepare, save, set_hash, shingle_sets
+from .common import by_part, deal, drop, load, save, set_hash, shingle_sets
 from .components import link_buckets
 
 #: Columns named frequent at most (2 MB of broadcast), and the least count of one.
@@ -250,7 +250,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     the minimum unless all are null. Repeated rows come out as often as they came in. Columns
     besides the two are not read. An empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     named = save(shingle_nodes(docs, width))
     tasks, n_parts = deal(docs)
@@ -288,7 +287,6 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     one stays, and rows of one doc_id are told apart by their texts. A text without shingles is
     alone, so its rows all stay.
     """
-    prepare(docs.sparkSession)
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         order = docs.orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
         rows = save(order.withColumn("_row", F.monotonically_increasing_id()))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, prepare
+from .common import load
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and from one to the next: a span of up to 48 is whole in one of them.
@@ -418,7 +418,6 @@ def joined(spans: str) -> F.Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     out = find(docs, fit(docs))
     counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]

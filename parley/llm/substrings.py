@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, _PLAIN, by_part, chunks, deal, load, mix, powers, prepare, save, utf8
+from .common import CHUNK, _PLAIN, by_part, chunks, deal, load, mix, powers, save, utf8
 
 LENGTH, WIDE = 100, 32
 SPAN = LENGTH - WIDE + 1
@@ -397,7 +397,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     all others. Rows repeated in full are one place in the order and come out alike; rows that
     share only a doc_id are ordered by their starts. Other columns are not read.
     """
-    prepare(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     tasks, n_parts = deal(docs)
     first = save(rank_contexts(docs, tasks, n_parts))
