@@ -151,10 +151,11 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     signatures = save(signed(lines.groupBy("h").agg(F.any_value("line").alias("line")), classes))
     members = shared_keys(signatures)
-    digests = signatures.drop(*[f"k{b}" for b in range(BANDS)])
+    digests = save(signatures.drop(*[f"k{b}" for b in range(BANDS)]).join(members.select("node").distinct(), "node", "left_semi"))
+    drop(signatures)
     verify = verify_pairs(lines.select(F.col("h").alias("node"), "line"), width, similarity)
     labels = link_buckets(members, verify, _agree(), digests)
-    drop(signatures)
+    drop(digests)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))
