@@ -77,7 +77,8 @@ def sample(docs: DataFrame, per_language: int, most: int) -> DataFrame:
     some = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
     share = F.least(F.lit(1.0), (per_language + 8 * F.sqrt(F.lit(float(per_language))) + 8) / F.col("n"))
-    low = some.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")  # `most` rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    # `most` rows are broadcast
+    low = some.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share"))
     own = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     return low.withColumn("r", F.row_number().over(own)).where(F.col("r") <= per_language).select("lang", "text", "h")
 

@@ -29,6 +29,8 @@ def test_language_sample(spark):
     got = {r.lang: r["count"] for r in language.sample(docs, 50, 8).groupBy("lang").count().collect()}
     assert got["en"] == 50 and got["de"] == 50 and got.get("fr", 0) in (0, 50) and set(got) <= {"en", "de", "fr"}
     assert {r.lang for r in language.sample(docs, 50, 1).collect()} == {"en"}
+    # only hashes under a bound are ranked
+    assert "<= share" in language.sample(docs, 50, 8)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_pieces(monkeypatch):
