@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embeddings, fingerprints, language, lines, mixing, ngram_join, pii, substrings
+from . import bpe, chat, embeddings, fingerprints, language, licenses, lines, mixing, ngram_join, pii, substrings
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op13_licenses": licenses.op13_licenses,
 }
-ORACLES = {"op8_ngram_join": ngram_join.SQL, "op10_embeddings": embeddings.SQL}
+ORACLES = {"op8_ngram_join": ngram_join.SQL, "op10_embeddings": embeddings.SQL, "op13_licenses": licenses.SQL}
