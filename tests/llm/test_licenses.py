@@ -80,7 +80,7 @@ def test_long_text(spark):
     for size in (20, 50):
         assert got(licenses.scan(spark.createDataFrame(docs, SCHEMA), phrases, size)) == [(i, *brute(t, phrases)) for i, t, *_ in docs]
     big = "lorem ipsum dolor " * 280000 + "all rights reserved " + "x" * 200000 + " cc by"
-    assert got(licenses.scan(spark.createDataFrame([(1, big, "", 0, 0)], SCHEMA))) == [(1, *brute(big))]
+    assert got(licenses.scan(spark.createDataFrame([(1, big, "", 0, 0)], SCHEMA), phrases)) == [(1, *brute(big, phrases))]
 
 
 def test_query(spark):
