@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embeddings, fingerprints, language, licenses, lines, mixing, ngram_join, periods, pii, substrings
+from . import bpe, chat, embeddings, fingerprints, language, licenses, lines, mixing, ngram_join, periods, pii, spelling, substrings
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_spelling": spelling.op11_spelling,
     "op12_periods": periods.op12_periods,
     "op13_licenses": licenses.op13_licenses,
 }
