@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, HashingTF, Normalizer
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import worth_embedding
-from ..sources.scratch import checkpointed
+from ..sources.scratch import stored
+from .neighbours import SLACK, blocks, count_near, distances, distinct, probe, stack, within
 
 #: Least turns of a cluster, and dimensions that turns are reduced to.
 MIN_CLUSTER, DIMENSIONS = 5, 20
+#: Links up to which components are found without rounds of joins: 2 MB of pairs.
+FEW_LINKS = 100_000
 
 
 def cluster_corpus(turns: DataFrame, convs: DataFrame, mode: str = "faq") -> DataFrame:
@@ -42,40 +47,81 @@ def reduce(df: DataFrame, k: int, column: str = "embedding") -> DataFrame:
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the least id that each node reaches. Rounds of joins, each written to the
-    checkpoint folder; pointers skip a step in every round."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    now = checkpointed(nodes.select("id", F.col("id").alias("label")))
+    checkpoint folder; pointers skip a step in every round. Up to FEW_LINKS links are followed by the driver."""
+    few = edges.select("a", "b").limit(FEW_LINKS + 1).collect()
+    if len(few) <= FEW_LINKS:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = up.get(above, above)
+                x = above
+            return x
+
+        for a, b in few:
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        known = edges.sparkSession.createDataFrame([(x, root(x)) for x in list(up)], "id long, label long")
+        return nodes.join(known, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    now = stored(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = both.join(now, both.a == now.id).groupBy("b").agg(F.min("label").alias("near"))
         step = now.join(near, now.id == near.b, "left").select("id", "label", F.least("label", "near").alias("new"))
         roots = now.select(F.col("id").alias("new"), F.col("label").alias("root"))
-        nxt = checkpointed(step.join(roots, "new", "left").select("id", "label", F.least("new", "root").alias("new")))
+        nxt = stored(step.join(roots, "new", "left").select("id", "label", F.least("new", "root").alias("new")))
         if nxt.where("label != new").isEmpty():
             return now
         now = nxt.select("id", F.col("new").alias("label"))
 
 
+def _local_components(near: np.ndarray) -> np.ndarray:
+    """The least index that each of some points reaches, from the matrix of which are near."""
+    label = np.arange(len(near))
+    while True:
+        least = np.where(near, label, len(near)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def density_clusters(points: DataFrame, eps: float, min_samples: int = MIN_CLUSTER, min_size: int = MIN_CLUSTER) -> DataFrame:
     """(id, cluster) from points (id long, reduced array<double>): dense points within eps of
     each other are one cluster, near ones join the nearest, and the rest is noise (null).
 
-    Equal points count as often as they occur but are compared once. A cluster's number is the least
+    Neighbours are exact. A dense point is linked to one point of each connected part of a block, so that links do
+    not grow with the square of a dense region. Equal points count as often as they occur but are compared once;
+    points with a null vector, or a null or infinite value in it, are noise. A cluster's number is the least
     id of its dense points; stable_ids names it by its turns, cluster_sizes ranks it.
     """
-    one = checkpointed(points.groupBy("reduced").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    x = one.select("id", "weight", array_to_vector("reduced").alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=4 * eps, numHashTables=4, seed=42).fit(x)
-    near = lsh.approxSimilarityJoin(x, x, eps, "d").where("datasetA.id < datasetB.id")
-    near = checkpointed(near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.weight").alias("wa"), F.col("datasetB.weight").alias("wb"), "d"))
-    degree = near.select(F.col("a").alias("id"), F.col("wb").alias("w")).union(near.select("b", "wa")).groupBy("id").agg(F.sum("w").alias("w"))
-    core = checkpointed(one.join(degree, "id", "left").where(F.col("weight") + F.coalesce("w", F.lit(0)) >= min_samples).select("id"))
-    inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    labels = smallest_reachable(core, inner)
+    one = stored(distinct(points))
+    counts = count_near(one, blocks(one), eps)
+    flagged = stored(one.join(counts, "id").select("id", "weight", "v", (F.col("n") >= min_samples).alias("dense")))
+    dense = flagged.where("dense").select("id", "weight", "v")
+    inner = blocks(dense)
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        at, ids, own = stack(y["v"]), y["id"].to_numpy(), x["id"].to_numpy()
+        d, part = distances(stack(x["v"]), at), _local_components(distances(at, at) <= eps)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, part, ids)
+        is_dense = x["dense"].to_numpy(bool)
+        q, m = np.nonzero((d <= eps) & is_dense[:, None])
+        links = pd.DataFrame({"id": own[q], "other": least[part[m]], "d": np.nan}).drop_duplicates(["id", "other"])
+        q, m = np.nonzero((d <= eps) & ~is_dense[:, None])
+        edge = pd.DataFrame({"id": own[q], "other": ids[m], "d": d[q, m]}).sort_values(["id", "d", "other"]).drop_duplicates("id")
+        return pd.concat([links, edge])
+
+    met = stored(probe(flagged.select("id", "v", "dense"), inner.points, within(inner, lambda f: np.full(len(f), eps + SLACK)), meet, "id long, other long, d double"))
+    links = met.where("isnan(d)").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    labels = smallest_reachable(dense.select("id"), links)
     # border points take the label of the nearest dense point
-    either = near.select(F.col("a").alias("id"), F.col("b").alias("other"), "d").union(near.select("b", "a", "d")).join(core, "id", "left_anti")
-    border = either.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min_by("label", F.struct("d", "other")).alias("label"))
-    named = one.join(labels.unionByName(border), "id", "left").select("reduced", "label")
-    all_ = points.join(named, "reduced").select("id", "label")
+    border = met.where("not isnan(d)").join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min_by("label", F.struct("d", "other")).alias("label"))
+    named = one.join(labels.unionByName(border), "id", "left").select("v", "label")
+    v = F.transform(F.col("reduced").cast("array<double>"), lambda x: x + F.lit(0.0))
+    all_ = stored(points.select("id", v.alias("v")).join(named, "v", "left").select("id", "label"))
     sizes = all_.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     return all_.join(sizes.select("label", F.col("label").alias("cluster")), "label", "left").select("id", "cluster")
 

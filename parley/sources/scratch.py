@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -15,3 +16,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the same folder and read again: like checkpointed(), but computed once."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
+    path = f"{context.getCheckpointDir()}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
