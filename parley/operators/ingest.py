@@ -81,30 +81,64 @@ def drop_off_turn(outcome_column: str = "outcome") -> Column:
     return F.when(~F.col(outcome_column).isin(*CONVERTED), last)
 
 
-#: Forms of a time besides ISO 8601; a section in brackets may be missing.
-_CLOCK = ("", " HH:mm[:ss]", " HH:mm:ss.SSS", " h:mm[:ss] a")
-_DATES = ("d.M.yyyy", "M/d/yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy")
-CREATED_FORMS = tuple(f"{date}{clock}" for date in _DATES for clock in _CLOCK)
+#: The months as names begin.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _OFFSET = r"\s*(Z|z|UTC|GMT|[+-][0-9]{2}(?::?[0-9]{2})?)$"
-
-
-def created(text: Column) -> Column:
+_CLOCK = r"^[ T]*([0-9]{1,2})(?::([0-9]{1,2}))?(?::([0-9]{1,2})(\.[0-9]+)?)?\s*([AaPp]\.?[Mm]\.?)?$"
+
+
+def _date(text: Column, pattern: str, order: str, day_first: bool = False) -> Column:
+    """struct<y, m, d, rest> of a text that begins with a date, null where the pattern does not fit. order says
+    which groups are the year, the month and the day; 'a' and 'b' are a month and a day in either order. What follows
+    the pattern is the rest."""
+    part = {c: F.regexp_extract(text, pattern, i + 1) for i, c in enumerate(order)}
+    if "a" in part:
+        first, second = (part[c].try_cast("int") for c in "ab")
+        # a number that no month has is the day, wherever it stands
+        swap = (second <= 12) if day_first else (first > 12)
+        month, day = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
+    elif "n" in part:
+        names = F.array(*map(F.lit, MONTHS))
+        month, day = F.array_position(names, F.lower(F.substring(part["n"], 1, 3))).cast("int"), part["d"].try_cast("int")
+    else:
+        month, day = part["m"].try_cast("int"), part["d"].try_cast("int")
+    return F.when(text.rlike(pattern), F.struct(part["y"].alias("y"), month.alias("m"), day.alias("d"), F.regexp_replace(text, pattern, "").alias("rest")))
+
+
+def created(text: Column, day_first: bool = False) -> Column:
     """UTC time of mixed forms; null where none fits. The session's time zone should be UTC.
 
-    ISO 8601 with T or a blank, dashes or slashes, with or without seconds, fractions and an offset
-    (Z, UTC, +hh, +hhmm, +hh:mm, after a blank or not); and day.month.year, month/day/year and names
-    of months, each with or without a time of 24 or 12 hours and an offset. Without an offset it is UTC.
+    A date is year-month-day, yyyymmdd, month-day-year, or has the name of a month; its parts stand between dashes,
+    slashes or dots, and the name of a day may come first. The month is read before the day unless it is over 12;
+    with day_first the day is, unless the second number is over 12. A time may follow after a blank or a T: of 24 or 12
+    hours (with am or pm), with or without minutes, seconds and fractions, or as hhmm and hhmmss after yyyymmdd. Then an
+    offset may follow (Z, UTC, +hh, +hhmm, +hh:mm, after a blank or not); without one it is UTC.
     """
-    t = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s*", "")  # the name of a day
-    local = F.regexp_replace(t, r"(?<=[0-9M])(?<![0-9]{4}-[0-9]{2})(?<!^[0-9]{4})" + _OFFSET, "")
-    iso = F.regexp_replace(local, r"^([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})", "$1-$2-$3")
-    parsed = F.when(iso.rlike(r"^[0-9]{4}(-[0-9]{1,2}){0,2}([T ]|$)"), iso.try_cast("timestamp"))
+    t = F.regexp_replace(F.trim(text), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*[, ]\s*", "")
+    local = F.regexp_replace(t, r"(?<=[0-9MmT.])(?<![0-9]{4}-[0-9]{2})(?<!^[0-9]{4})(?<!^[0-9]{2}[-][0-9]{2})(?<!^[0-9][-][0-9]{2})(?<!^[0-9])(?<!^[0-9]{2})" + _OFFSET, "")
     plain = F.regexp_replace(F.regexp_replace(local, ",", " "), r"\s+", " ")
+    spread = F.regexp_replace(plain, r"^([0-9]{4})([0-9]{2})([0-9]{2})[T ]?([0-9]{2})?([0-9]{2})?([0-9]{2})?(?![0-9])", "$1-$2-$3 $4:$5:$6")
+    spread = F.regexp_replace(spread, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}) ((?:[0-9]{2})?(?::[0-9]{2})*):+$", "$1 $2")
+    end = r"(?=[T ]|$)"
+    date = F.coalesce(
+        _date(spread, r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + end, "ymd"),
+        _date(spread, r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + end, "aby", day_first),
+        _date(spread, r"^([A-Za-z]{3,9})\.?[ -]([0-9]{1,2})[ -]([0-9]{4})" + end, "ndy"),
+        _date(spread, r"^([0-9]{1,2})[ -]([A-Za-z]{3,9})\.?[ -]([0-9]{4})" + end, "dny"),
+        _date(spread, r"^([0-9]{4})()()$", "ymd"),
+        _date(spread, r"^([0-9]{4})-([0-9]{1,2})()$", "ymd"),
+    )
+    clock = lambda i: F.regexp_extract(date["rest"], _CLOCK, i)
+    rest = F.trim(date["rest"])
+    hour, half = clock(1).try_cast("int"), F.lower(clock(5))
+    hour = F.when(half == "", F.when((clock(2) != ""), hour)).when(hour.between(1, 12), hour % 12 + F.when(half.startswith("p"), 12).otherwise(0))
+    zero = lambda c: F.when(c == "", "0").otherwise(c)
+    time = F.when(rest.isin("", "T"), F.lit("0:0:0")).when(date["rest"].rlike(_CLOCK), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(zero(clock(2)), 2, "0"), F.lit(":"), F.lpad(zero(clock(3)), 2, "0"), clock(4)))
+    iso = F.concat(date["y"], F.lit("-"), F.lpad(F.coalesce(date["m"], F.lit(1)).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.coalesce(date["d"], F.lit(1)).cast("string"), 2, "0"), F.lit(" "), time)
     zone = F.when(F.length(local) < F.length(t), F.regexp_extract(t, _OFFSET, 1))
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     minutes = F.when(zone.rlike("^[+-]"), sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.coalesce(F.regexp_extract(zone, ":?([0-9]{2})$", 1).try_cast("int") * (F.length(zone) > 3).cast("int"), F.lit(0)))).otherwise(0)
-    naive = F.coalesce(parsed, *[F.try_to_timestamp(plain, F.lit(f)) for f in CREATED_FORMS])
-    return naive - F.make_dt_interval(mins=minutes)
+    return iso.try_cast("timestamp") - F.make_dt_interval(mins=minutes)
 
 
 def created_report(raw: DataFrame, column: str = "created") -> DataFrame:

@@ -76,6 +76,27 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = nxt.select("id", F.col("new").alias("label"))
 
 
+def _back(points: DataFrame, named: DataFrame, *columns: str) -> DataFrame:
+    """columns of distinct vectors (v) for each point."""
+    v = F.transform(F.col("reduced").cast("array<double>"), lambda x: x + F.lit(0.0))
+    return points.select("id", v.alias("v")).join(named.select("v", *columns), "v").select("id", *columns)
+
+
+def neighbour_counts(points: DataFrame, eps: float) -> DataFrame:
+    """(id, n) from points (id long, reduced array<double>): how many points lie within eps, the point itself
+    included. Points with a null vector, or a null or infinite value in it, are left out."""
+    one = stored(distinct(points))
+    return _back(points, one.join(count_near(one, blocks(one), eps), "id"), "n")
+
+
+def core_distance(points: DataFrame, min_samples: int = MIN_CLUSTER) -> DataFrame:
+    """(id, core): the distance within which each point has min_samples others; infinite where there are not so many.
+    Points with a null vector, or a null or infinite value in it, are left out."""
+    from .hierarchy import core_distances
+
+    return _back(points, core_distances(blocks(stored(distinct(points))), min_samples), "core")
+
+
 def _local_components(near: np.ndarray) -> np.ndarray:
     """The least index that each of some points reaches, from the matrix of which are near."""
     label = np.arange(len(near))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_intent, worth_embedding
 from ..operators import annotations as notes
-from ..operators import archetypes, ingest, labels, listing, metrics, sentiment, sequences, topics
+from ..operators import archetypes, hierarchy, ingest, labels, listing, metrics, sentiment, sequences, topics
 from .fixtures import Inputs, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,7 +122,18 @@ def ingest_incremental(x):
 def created_norm(x):
     forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd.MM.yyyy HH:mm:ss")
     text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", forms[0])).when(F.col("event_id") % 3 == 1, F.date_format("ts", forms[1])).otherwise(F.date_format("ts", forms[2]))
-    return x.table("events").select("event_id", ingest.created(text).alias("created"))
+    return x.table("events").select("event_id", ingest.created(text, day_first=True).alias("created"))
+
+
+@query("select event_id, strftime(case event_id % 6 when 0 then date_trunc('day', ts) when 1 then date_trunc('second', ts) when 3 then date_trunc('hour', ts) when 4 then date_trunc('day', ts) else date_trunc('minute', ts) end, '%Y-%m-%d %H:%M:%S') as created from events")
+def created_month_first(x):
+    """Compact, 12-hour and numeric forms; the month comes before the day unless it cannot."""
+    ts = F.col("ts")
+    forms = ["yyyyMMdd", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd h:mm a", "MMM d yyyy ha", "MM-dd-yyyy"]
+    text = F.when(F.dayofmonth("ts") > 12, F.date_format(ts, "dd/MM/yyyy HH:mm")).otherwise(F.date_format(ts, "MM/dd/yyyy HH:mm"))
+    for i, form in enumerate(forms):
+        text = F.when(F.col("event_id") % 6 == i, F.date_format(ts, form)).otherwise(text)
+    return x.table("events").select("event_id", F.date_format(ingest.created(text), "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 def _forms(x):
@@ -590,6 +601,28 @@ def _points(x, k):
     return topics.reduce(v, k)
 
 
+def _vectors(x):
+    return x.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("reduced"))
+
+
+PAIRS = "with p as (select a.vec_id as id, list_distance(a.embedding::double[], b.embedding::double[]) as d from embeddings a, embeddings b where a.embedding is not null and b.embedding is not null) "
+
+
+@query(PAIRS + "select id, count(*) as n from p where d <= 0.6 group by id")
+def neighbour_counts(x):
+    return topics.neighbour_counts(_vectors(x), 0.6)
+
+
+@query(PAIRS + "select id, round(d, 6) as core from (select id, d, row_number() over (partition by id order by d) as r from p) where r = 6")
+def core_distance(x):
+    return topics.core_distance(_vectors(x)).withColumn("core", F.round("core", 6))
+
+
+@query()
+def hierarchical_clusters(x):
+    return hierarchy.hierarchical_clusters(_points(x, topics.DIMENSIONS).select("id", "reduced"))
+
+
 @query()
 def density_clusters(x):
     return topics.density_clusters(_points(x, topics.DIMENSIONS).select("id", "reduced"), 0.35)

@@ -131,6 +131,23 @@ def test_created(spark):
     assert tuple(ingest.created_report(df).first()) == (len(TIMES), 2, 3)
 
 
+#: Forms, with month first and with day first where that differs.
+DATES = {
+    "20250403": "2025-04-03 00:00:00", "20250403T100000": "2025-04-03 10:00:00", "20250403T1030": "2025-04-03 10:30:00", "20250403 100000Z": "2025-04-03 10:00:00", "2025-04-03 5:00 PM": "2025-04-03 17:00:00",
+    "Apr 3 2025 5PM": "2025-04-03 17:00:00", "3 April 2025 12:05 am": "2025-04-03 00:05:00", "April 3, 2025": "2025-04-03 00:00:00", "03-Apr-2025 07:08": "2025-04-03 07:08:00", "Wednesday, 3 Sept 2025": "2025-09-03 00:00:00",
+    "03-04-2025": ("2025-03-04 00:00:00", "2025-04-03 00:00:00"), "03.04.2025": ("2025-03-04 00:00:00", "2025-04-03 00:00:00"), "3/4/2025 7:08:09": ("2025-03-04 07:08:09", "2025-04-03 07:08:09"), "13/04/2025": "2025-04-13 00:00:00", "04/13/2025 23:59": "2025-04-13 23:59:00",
+    "2025": "2025-01-01 00:00:00", "2025-04": "2025-04-01 00:00:00", "2025-04-03T10:00:00.123456+0300": "2025-04-03 07:00:00.123456", "4/3/2025 10:00 -05:00": ("2025-04-03 15:00:00", "2025-03-04 15:00:00"), "2025-04-03 17": None,
+    "13/13/2025": None, "2025-02-30": None, "2025-04-03 13:00 PM": None, "2025-04-03 25:00": None, "Abc 3 2025": None, "3": None, "12-04": None, "1234567": None,
+}
+
+
+def test_created_forms(spark):
+    df = spark.createDataFrame([(t,) for t in DATES], "t string")
+    for day_first in (False, True):
+        got = {r.t: r.at for r in df.select("t", ingest.created(F.col("t"), day_first).cast("string").alias("at")).collect()}
+        assert got == {t: v[day_first] if isinstance(v, tuple) else v for t, v in DATES.items()}
+
+
 def test_labeler_chars(spark):
     turns = spark.createDataFrame([("a", 0, "client", "x" * 5000), ("a", 1, "client", "short")], "conversation_id string, turn_index int, role string, raw_text string")
     got = labels.label_turns(turns, lambda asked: [str(len(t)) for _, t in asked]).collect()

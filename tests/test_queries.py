@@ -44,7 +44,7 @@ def test_rows_only(spark, name):
         sizes = Counter(r.cluster for r in got)
         assert 1 <= len(sizes) <= 8 and len({r.conversation_id for r in got}) == len(got)
         assert name == "archetype_clusters" or all(r.outcome in ("closed", "human-closed", "lost", "abandoned") for r in got)
-    elif name == "density_clusters":
+    elif name in ("density_clusters", "hierarchical_clusters"):
         sizes = Counter(r.cluster for r in got)
         assert all(n >= 5 for c, n in sizes.items() if c is not None) and len({r.id for r in got}) == len(got)
         assert all(c in {r.id for r in got if r.cluster == c} for c in sizes if c is not None)
