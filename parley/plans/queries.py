@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_intent, worth_embedding
 from ..operators import annotations as notes
 from ..operators import archetypes, hierarchy, ingest, labels, listing, metrics, sentiment, sequences, topics
+from ..sources import scratch, tables, transcripts
+from ..streaming import labelling
 from .fixtures import Inputs, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +120,36 @@ def ingest_incremental(x):
     return ingest.new_only(first.unionByName(again), loaded).select("conversation_id", F.col("from_messenger").alias("platform"))
 
 
+@query("select conversation_id, outcome, turn_count, rank() over (order by conversation_id) - 1 as ordinal from convs", "convs")
+def transcripts_from_csv(x):
+    """Transcripts written as CSV files and read by ranges; places follow the files and the records in them."""
+    path = scratch.folder(x.spark)
+    raw = x.raw.select("chat_id", "user_id", "user_name", "from_messenger", F.col("created").cast("string").alias("created"), "messages")
+    raw.repartitionByRange("chat_id").sortWithinPartitions("chat_id").write.options(header=True, quoteAll=True, escape='"').csv(path)
+    parsed = ingest.parse_messages(transcripts.read_split(x.spark, f"{path}/*.csv"))
+    out = ingest.conversations(parsed.withColumn("conversation_id", ingest.conversation_id()), ai_only=False)
+    places = parsed.select(ingest.conversation_id().alias("conversation_id"), "ordinal")
+    return out.join(places, "conversation_id").select("conversation_id", "outcome", F.col("turn_count").cast("long").alias("turn_count"), "ordinal")
+
+
+@query("select turn_id, cluster_id, 'failure' as cluster_type from members union all select turn_id, cluster_id + 10, 'faq' from members where cluster_id is not null", "members")
+def clusters_replaced(x):
+    """The clusters of one type replaced in a stored table, those of the other kept."""
+    path = scratch.folder(x.spark)
+    first = x.members.select("turn_id", "cluster_id", F.explode(F.array(F.lit("faq"), F.lit("failure"))).alias("cluster_type"))
+    tables.write_table(first, path, partition="cluster_type")
+    again = x.members.where("cluster_id is not null").select("turn_id", (F.col("cluster_id") + 10).alias("cluster_id"), F.lit("faq").alias("cluster_type"))
+    tables.write_table(again, path, partition="cluster_type")
+    return x.spark.read.parquet(path).select("turn_id", "cluster_id", "cluster_type")
+
+
+@query("select turn_id, raw_text from members", "members")
+def json_export(x):
+    path = scratch.folder(x.spark)
+    tables.export_json(x.members.select("turn_id", "raw_text"), path)
+    return x.spark.read.schema("turn_id string, raw_text string").json(path)
+
+
 @query("select event_id, date_trunc('second', ts) as created from events")
 def created_norm(x):
     forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "dd.MM.yyyy HH:mm:ss")
@@ -349,6 +381,19 @@ def label_turns(x):
     return labels.parse_label(answered).select("turn_id", "intent", "intent_confidence", "sentiment")
 
 
+@query(ORACLES["label_turns"])
+def label_turns_durable(x):
+    """A labeler that fails on some turns leaves these alone unlabelled."""
+
+    def labeler(role, text):
+        if len(text) % 10 == 0:
+            raise ConnectionError("no credit")
+        return '{"intent": "greeting", "intent_confidence": 0.9, "sentiment": 0}' if role == "client" else '{"act": "follow_up", "confidence": 0.8}'
+
+    answered = labelling.label_durably(labels.turns_to_label(x.turns), scratch.folder(x.spark), labeler, rows=20_000)
+    return labels.parse_label(answered).select("turn_id", "intent", "intent_confidence", "sentiment")
+
+
 @query(
     CLIENT_TURNS.replace(", t as", "with t as", 1)
     + r""" select turn_id, case when role = 'client' then case when regexp_matches(lower(raw_text), '\?|how much|price|cost') then 'price_inquiry' when regexp_matches(lower(raw_text), 'hello|hi |good (day|morning)') then 'greeting' when regexp_matches(lower(raw_text), 'buy|order') then 'ready_to_buy' when regexp_matches(lower(raw_text), '[0-9]{6,}|@') then 'shares_contact' else 'other' end

@@ -5,26 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(). Without a folder, one of this machine serves a local session; on a cluster it is an error."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share. Where spark.checkpoint.dir names none, one of this machine serves a
+    local session; on a cluster it is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
-    return df.checkpoint()
+    return f"{context.getCheckpointDir()}/step-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as a table to the same folder and read again: like checkpointed(), but computed once."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
-    path = f"{context.getCheckpointDir()}/step-{uuid.uuid4().hex}"
+    """df written as a table to a new shared folder and read again, which cuts its lineage."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
