@@ -70,7 +70,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, segment string, mask_start long, mask_end long")
 
 
-_PARTS = re.compile(rb"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*)</turn>\n", re.DOTALL)
+# in runs that are never given back, so that a long text is neither held nor tried character by character
+_PARTS = re.compile(rb"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.DOTALL)
 _ESCAPE = re.compile(rb"\\(.)", re.DOTALL)
 
 

@@ -1,6 +1,8 @@
 """Texts longer than the pieces in which they are read, and inputs larger than their bounds."""
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +91,10 @@ def test_block_pairs(spark, monkeypatch):
     assert all(r.n_links == 49 and r.component_id == r.vec_id // 50 * 50 for r in got)
     (_, blocks, first), (full, _, again) = made
     assert full and again == 0 and first < blocks * (blocks + 1) // 4
+
+
+def test_long_turn():
+    """Reading back one turn of 20 MB takes a few times its size."""
+    code = "import resource; from parley.llm import chat; t = b'### user: ' + rb'a\\<b ' * 5_000_000 + b'</turn>\\n'; x = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; m = chat._PARTS.match(t); assert m.end() == len(t); del m; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - x)"
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1])
+    assert grown < 200_000
