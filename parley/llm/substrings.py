@@ -386,6 +386,16 @@ def _spread(windows: list[np.ndarray], n_parts: int):
     return out + list(_dealt(_part(rows["rank"], n_parts), "window", rows))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, th, text) with rows that are repeated in full once: only these are shuffled with their texts."""
+    named = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    twice = save(named.groupBy("doc", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc", "th"))
+    if twice.isEmpty():
+        return docs
+    again = named.join(twice, ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    return named.join(twice, ["doc", "th"], "left_anti").select("doc_id", "th", "text").unionByName(again.select("doc_id", "th", "text"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text, kept binary, spans array<struct<start,end>>) for each row of docs.
 
@@ -399,10 +409,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     tasks, n_parts = deal(docs)
-    first = save(rank_contexts(docs, tasks, n_parts))
+    once = _once(docs)
+    first = save(rank_contexts(once, tasks, n_parts))
     todo = first.groupBy("doc", "th").agg(F.collect_list("places").alias("all_places"))
     text = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    second = save(sort_buckets(text.join(todo, ["doc", "th"]).select("doc_id", "th", "text", "all_places"), tasks, n_parts))
+    own = once.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    second = save(sort_buckets(own.join(todo, ["doc", "th"]).select("doc_id", "th", "text", "all_places"), tasks, n_parts))
     marks = first.unionByName(second).groupBy("doc", "th").agg(F.collect_list("places").alias("all_places"))
     both = text.join(marks, ["doc", "th"], "left").select("doc_id", "text", "all_places")
 

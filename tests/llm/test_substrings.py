@@ -63,3 +63,13 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows(spark):
+    """A document repeated a thousand times in full costs about what one of them does."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    docs = [(2, text)] * 1000 + [(1, text[500:900] + "x"), (3, text[1000:])]
+    rows = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == 1002
+    assert {(r.doc_id, bytes(r.kept)) for r in rows} == {(1, (text[500:900] + "x").encode()), (2, (text[:500] + text[900:]).encode()), (3, b"")}
