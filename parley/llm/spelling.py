@@ -28,6 +28,8 @@ CAPITALS = r"[À-ÞİŸẞKÅ]"
 LETTERS, OFTEN = 5, 3
 #: Words that a part has on average; words of a slice, and queries that are run at a time.
 PART, SLICE, QUERIES = 1024, 4096, 1024
+#: Length classes with a number of parts of their own.
+LONG = 256
 
 
 def edited(doc_id: Column, word: Column) -> Column:
@@ -57,8 +59,11 @@ def _members(words: DataFrame, part: int, slice_: int) -> DataFrame:
     half = F.floor(F.col("a") / 2).cast("int")
     key = F.when(F.col("side") == 0, F.substring("word", F.lit(1), half)).otherwise(F.substring("word", m - half + 1, half))
     rows = rows.withColumn("h", F.xxhash64(key))
-    parts = rows.groupBy("a", "side").agg(F.ceil(F.count("*") / part).alias("parts"))
-    rows = rows.join(parts, ["a", "side"]).withColumn("part", F.pmod("h", F.col("parts"))).drop("h", "parts")
+    # classes from LONG on share their number of parts, so no more than LONG numbers reach the driver
+    short = F.least("a", F.lit(LONG))
+    held = {r.a: r["count"] for r in rows.groupBy(short.alias("a")).count().collect()}
+    parts = F.array(*[F.lit(-(-held.get(a, 1) // (2 * part))) for a in range(LONG + 1)])
+    rows = rows.withColumn("part", F.pmod("h", F.get(parts, short).cast("long"))).drop("h")
     sizes = rows.groupBy("a", "side", "part").agg(F.ceil(F.count("*") / slice_).cast("int").alias("slices"))
     rows = rows.join(sizes, ["a", "side", "part"])
     index = rows.select("a", "side", "part", F.pmod(F.xxhash64("word", F.lit(1)), "slices").cast("int").alias("slice"), F.lit(False).alias("query"), "word", "n")
