@@ -22,7 +22,7 @@ from .components import link_buckets
 #: still links after a change of one.
 SHINGLE = 4
 BANDS = 16
-#: How lines are signed, by their characters: (least, most, shingle's width, minima of a key, bands
+#: How lines are signed, by their characters, or by their different shingles where these are clearly fewer: (least, most, shingle's width, minima of a key, bands
 #: that each shingle is in; under 1: the part of all shingles that is looked at). Shingles of 6 are
 #: seldom shared by chance; a change of one character costs them half as much again, so that 0.8 over
 #: shingles of 4 is about 0.71 over these: 1 - (1 - 0.71**4)**16 = 0.992 share a band. Short lines have
@@ -52,11 +52,22 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def _extent(line: str, units: Column, width: int = SHINGLE) -> Column:
+    """The length of a line, or where eight characters in its middle or at its quarters occur three times, that of a
+    line of as many different shingles without repeats: lines of equal sets have about the same, whatever their lengths."""
+    n = F.length(line)
+    part = [F.substring(line, F.greatest(F.lit(1), (n * k / 4).cast("int")), F.lit(8)) for k in (1, 2, 3)]
+    often = [(n - F.length(F.replace(line, p, F.lit("")))) >= 3 * F.length(p) for p in part]
+    different = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - width + 1)), lambda i: F.substring(units, i * 2 - 1, F.lit(2 * width)))))
+    repeats = reduce(Column.__or__, often) & (n > 3 * width)
+    return F.when(repeats, different + width - 1).otherwise(n)
+
+
 def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
     """(node, class, k0, ..., d0, ...): each line's keys, null for a band that has no shingle of it, and bytes of their
     minima, once for each class. lines: (h, line), partitioned by h, so that no shingle is shuffled."""
-    n, made = F.length("line"), []
-    units = lines.select("h", n.alias("n"), _units("line").alias("u"))
+    made, units = [], lines.select("h", "line", _units("line").alias("u"))
+    units = units.select("h", _extent("line", F.col("u")).alias("n"), "u")
     for k, (least, most, width, rows, per) in enumerate(classes):
         some = units.where(F.col("n") >= least)
         x = _exploded(some if most is None else some.where(F.col("n") <= most), width, "h")
@@ -123,13 +134,17 @@ def verify_pairs(lines: DataFrame, width: int, similarity: float):
         texts = save(lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"))
         n = min(PARTS, max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PAIRS))
-        both = pairs.join(side("a"), "a").repartition(n, "b").join(side("b").repartition(n, "b"), "b")
+        # the node of fewer pairs places a pair, so that one that all others are tried against does not
+        degree = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
+        known = lambda x: degree.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+        turned = pairs.join(known("a"), "a").join(known("b"), "b").select(F.when(F.col("n_a") > F.col("n_b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b")).alias("p")).select(F.col("p.b").alias("a"), F.col("p.a").alias("b"))
+        both = turned.join(side("a"), "a").repartition(n, "b").join(side("b").repartition(n, "b"), "b")
         sides = F.array(*[F.struct(F.lit(k).alias("side"), _units(f"line_{x}").alias("u")) for k, x in ((1, "a"), (2, "b"))])
         each = both.select("a", "b", F.explode(sides).alias("s")).select("a", "b", F.col("s.side").alias("side"), F.col("s.u").alias("u"))
         found = _exploded(each, width, "a", "b", "side").groupBy("a", "b", "x").agg(F.bit_or("side").alias("side"))
         counts = found.groupBy("a", "b").agg(F.count_if(F.col("side") == 3).alias("i"), F.count("*").alias("u"))
-        linked = save(counts.where(_alike(similarity)).select("a", "b"))
-        drop(texts)
+        linked = save(counts.where(_alike(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        drop(texts, degree)
         return linked
 
     return verify
@@ -154,7 +169,7 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     digests = save(signatures.drop(*[f"k{b}" for b in range(BANDS)]).join(members.select("node").distinct(), "node", "left_semi"))
     drop(signatures)
     verify = verify_pairs(lines.select(F.col("h").alias("node"), "line"), width, similarity)
-    labels = link_buckets(members, verify, _agree(), digests)
+    labels = link_buckets(members, verify, _agree(), digests, rounds=4)
     drop(digests)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))

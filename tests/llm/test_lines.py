@@ -81,3 +81,18 @@ def test_similarity_of_exactly_the_threshold(spark):
     rows = [(True, 4 * k, 5 * k) for k in (1, 7, 14, 23, 28, 100)] + [(False, 4 * k, 5 * k + 1) for k in (1, 7, 14, 23, 28, 100)]
     df = spark.createDataFrame(rows, "want boolean, i long, u long")
     assert all(r.want == r.got for r in df.select("want", lines._alike(0.8).alias("got")).collect())
+
+
+def test_repeated_shingles(spark):
+    """Equal and nearly equal sets of shingles in lines of very different lengths."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    made = ["-" * 40, "-" * 300, "=" * 60, "=" * 80, "ab" * 20, "ab" * 500, "see page " * 3, "see page " * 8]
+    for n in (4, 8, 20, 60):
+        unit = " ".join(word() for _ in range(n)) + " "
+        made += [unit * 3, unit * 8, unit * 40]
+    made += [f"Chapter one {'.' * n} 12" for n in (20, 60, 200, 900)]
+    docs = list(enumerate(made))
+    want = brute_lines(docs, WIDTH)
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == want and len(want) >= 15
