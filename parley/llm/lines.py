@@ -53,21 +53,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _extent(line: str, units: Column, width: int = SHINGLE) -> Column:
-    """The length of a line, or where eight characters in its middle or at its quarters occur three times, that of a
+    """The length of a line, or where eight characters in its middle and at both quarters occur three times each, that of a
     line of as many different shingles without repeats: lines of equal sets have about the same, whatever their lengths."""
     n = F.length(line)
     part = [F.substring(line, F.greatest(F.lit(1), (n * k / 4).cast("int")), F.lit(8)) for k in (1, 2, 3)]
     often = [(n - F.length(F.replace(line, p, F.lit("")))) >= 3 * F.length(p) for p in part]
-    different = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - width + 1)), lambda i: F.substring(units, i * 2 - 1, F.lit(2 * width)))))
-    repeats = reduce(Column.__or__, often) & (n > 3 * width)
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), n - width + 1))
+    shingles = lambda u: F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(u, i * 2 - 1, F.lit(2 * width)))))
+    # an array of one binds the units, which would else be made again for each shingle
+    different = F.element_at(F.transform(F.array(units), lambda u: F.size(shingles(u))), 1)
+    repeats = (n > 3 * width) & reduce(Column.__and__, often)
     return F.when(repeats, different + width - 1).otherwise(n)
 
 
 def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
     """(node, class, k0, ..., d0, ...): each line's keys, null for a band that has no shingle of it, and bytes of their
-    minima, once for each class. lines: (h, line), partitioned by h, so that no shingle is shuffled."""
-    made, units = [], lines.select("h", "line", _units("line").alias("u"))
-    units = units.select("h", _extent("line", F.col("u")).alias("n"), "u")
+    minima, once for each class. lines: (h, line), partitioned by h, so that no shingle is shuffled, and n, their _extent, where it is known."""
+    made, units = [], lines.withColumn("u", _units("line"))
+    units = units.select("h", F.col("n") if "n" in lines.columns else _extent("line", F.col("u")).alias("n"), "u")
     for k, (least, most, width, rows, per) in enumerate(classes):
         some = units.where(F.col("n") >= least)
         x = _exploded(some if most is None else some.where(F.col("n") <= most), width, "h")
@@ -164,7 +167,9 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     lines = lines_of(docs.select("doc_id", "text"))
     place = F.struct("doc_id", "pos", "th")
     first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    signatures = save(signed(lines.groupBy("h").agg(F.any_value("line").alias("line")), classes))
+    # extents are taken before the shuffle that all classes share
+    sized = lines.withColumn("n", _extent("line", _units("line"))).groupBy("h").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"))
+    signatures = save(signed(sized, classes))
     members = shared_keys(signatures)
     digests = save(signatures.drop(*[f"k{b}" for b in range(BANDS)]).join(members.select("node").distinct(), "node", "left_semi"))
     drop(signatures)
