@@ -130,16 +130,16 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int = MIN_CLUST
         np.minimum.at(least, part, ids)
         is_dense = x["dense"].to_numpy(bool)
         q, m = np.nonzero((d <= eps) & is_dense[:, None])
-        links = pd.DataFrame({"id": own[q], "other": least[part[m]], "d": np.nan}).drop_duplicates(["id", "other"])
+        links = pd.DataFrame({"id": own[q], "other": least[part[m]], "d": -1.0}).drop_duplicates(["id", "other"])
         q, m = np.nonzero((d <= eps) & ~is_dense[:, None])
         edge = pd.DataFrame({"id": own[q], "other": ids[m], "d": d[q, m]}).sort_values(["id", "d", "other"]).drop_duplicates("id")
         return pd.concat([links, edge])
 
     met = stored(probe(flagged.select("id", "v", "dense"), inner.points, within(inner, lambda f: np.full(len(f), eps + SLACK)), meet, "id long, other long, d double"))
-    links = met.where("isnan(d)").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    links = met.where("d < 0").select(F.col("id").alias("a"), F.col("other").alias("b"))
     labels = smallest_reachable(dense.select("id"), links)
     # border points take the label of the nearest dense point
-    border = met.where("not isnan(d)").join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min_by("label", F.struct("d", "other")).alias("label"))
+    border = met.where("d >= 0").join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min_by("label", F.struct("d", "other")).alias("label"))
     named = one.join(labels.unionByName(border), "id", "left").select("v", "label")
     v = F.transform(F.col("reduced").cast("array<double>"), lambda x: x + F.lit(0.0))
     all_ = stored(points.select("id", v.alias("v")).join(named, "v", "left").select("id", "label"))
