@@ -66,36 +66,53 @@ def _extent(line: str, units: Column, width: int = SHINGLE) -> Column:
     return F.when(repeats, different + width - 1).otherwise(n)
 
 
-def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
-    """(node, class, k0, ..., d0, ...): each line's keys, null for a band that has no shingle of it, and bytes of their
-    minima, once for each class. lines: (h, line), partitioned by h, so that no shingle is shuffled, and n, their _extent, where it is known."""
-    made, units = [], lines.withColumn("u", _units("line"))
+def banded(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
+    """(node, class, band, key, d): for each class of a line and each band that has a shingle of it, the band's key and a byte
+    each of its minima. lines: (h, line), partitioned by h, so that no shingle is shuffled, and n, their _extent, where it is
+    known. Classes that differ only in how many shingles are looked at are one pass."""
+    units = lines.withColumn("u", _units("line"))
     units = units.select("h", F.col("n") if "n" in lines.columns else _extent("line", F.col("u")).alias("n"), "u")
-    for k, (least, most, width, rows, per) in enumerate(classes):
-        some = units.where(F.col("n") >= least)
-        x = _exploded(some if most is None else some.where(F.col("n") <= most), width, "h")
-        if per < 1:
-            x = x.where(F.shiftrightunsigned("x", 32).bitwiseAND(round(1 / per) - 1) == 0)
-        own = [F.shiftrightunsigned("x", 8 * i).bitwiseAND(bands - 1).cast("int") for i in range(max(1, int(per)))]
-        band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))) if per == bands else F.explode(F.array(*own)) if per > 1 else own[0]
-        all_ = x.select("h", "x", band.alias("band"))
+    passes: dict[tuple, list[int]] = {}
+    for k, (*_, width, rows, per) in enumerate(classes):
+        passes.setdefault((width, rows, max(1, int(per))), []).append(k)
+    made = []
+    for (width, rows, per), members in passes.items():
+        within = [(F.col("n") >= classes[k][0]) & (F.lit(True) if classes[k][1] is None else F.col("n") <= classes[k][1]) for k in members]
+        own = F.array_compact(F.array(*[F.when(w, F.lit(k).cast("byte")) for k, w in zip(members, within, strict=True)]))
+        x = _exploded(units.where(reduce(Column.__or__, within)).select("h", "u", F.explode(own).alias("class")), width, "h", "class")
+        if any(classes[k][4] < 1 for k in members):
+            mask = reduce(lambda c, k: F.when(F.col("class") == k, F.lit(round(1 / min(1, classes[k][4])) - 1)).otherwise(c), members, F.lit(0))
+            x = x.where(F.shiftrightunsigned("x", 32).bitwiseAND(mask.cast("long")) == 0)
+        bytes_ = [F.shiftrightunsigned("x", 8 * i).bitwiseAND(bands - 1).cast("int") for i in range(per)]
+        band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))) if per == bands else F.explode(F.array(*bytes_)) if per > 1 else bytes_[0]
+        all_ = x.select("h", "class", "x", band.alias("band"))
         # orders of a band's own shingles by bits 13 apart; where bands share them, by a hash for each
         order = [F.xxhash64("x", F.col("band") * rows + r) if per == bands else F.shiftleft("x", 13 * r) for r in range(rows)]
-        minima = all_.groupBy("h", "band").agg(*[F.min(o).alias(f"m{r}") for r, o in enumerate(order)])
+        minima = all_.groupBy("h", "class", "band").agg(*[F.min(o).alias(f"m{r}") for r, o in enumerate(order)])
         byte = lambda r: F.shiftleft(F.shiftrightunsigned(f"m{r}", 45).bitwiseAND(255).cast("int"), 8 * r)
-        keys = minima.select("h", "band", F.xxhash64(F.lit(k), "band", *[f"m{r}" for r in range(rows)]).alias("key"), reduce(Column.bitwiseOR, map(byte, range(KEPT))).alias("d"))
-        of = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c)))
-        whole = keys.groupBy("h").agg(*[of("key", b).alias(f"k{b}") for b in range(bands)], *[F.coalesce(of("d", b), F.lit(0)).alias(f"d{b}") for b in range(bands)])
-        made.append(whole.withColumnRenamed("h", "node").withColumn("class", F.lit(k).cast("byte")))
+        key = F.xxhash64(F.col("class").cast("int"), "band", *[f"m{r}" for r in range(rows)])
+        made.append(minima.select(F.col("h").alias("node"), "class", F.col("band").cast("byte").alias("band"), key.alias("key"), reduce(Column.bitwiseOR, map(byte, range(KEPT))).alias("d")))
     return reduce(DataFrame.unionByName, made)
 
 
-def shared_keys(signatures: DataFrame, bands: int = BANDS, rounds: int = 4) -> DataFrame:
+def sketches(banded: DataFrame, bands: int = BANDS, keys: bool = False) -> DataFrame:
+    """(node, class, d0, ...): the bytes of all bands in one row, 0 for a band without a shingle; with `keys` also k0, ..., null for it."""
+    of = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c)))
+    named = [of("key", b).alias(f"k{b}") for b in range(bands)] if keys else []
+    return banded.groupBy("node", "class").agg(*named, *[F.coalesce(of("d", b), F.lit(0)).alias(f"d{b}") for b in range(bands)])
+
+
+def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
+    """(node, class, k0, ..., d0, ...): the keys of a line and the bytes of their minima, once for each of its classes."""
+    return sketches(banded(lines, classes, bands), bands, keys=True)
+
+
+def shared_keys(banded: DataFrame, rounds: int = 4) -> DataFrame:
     """(key, node): the keys that two lines or more have, so many bands at a time, so that only a part of the keys is
-    read and shuffled at once."""
+    shuffled at once."""
     found = []
     for at in range(rounds):
-        some = signatures.select("node", F.explode(F.array(*[f"k{b}" for b in range(at, bands, rounds)])).alias("key")).where("key is not null")
+        some = banded.where(F.col("band") % rounds == at).select("node", "key")
         often = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         found.append(save(some.join(often, "key", "left_semi").select("key", "node")))
     members = save(reduce(DataFrame.unionByName, found))
@@ -169,9 +186,9 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     first = save(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     # extents are taken before the shuffle that all classes share
     sized = lines.withColumn("n", _extent("line", _units("line"))).groupBy("h").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"))
-    signatures = save(signed(sized, classes))
+    signatures = save(banded(sized, classes))
     members = shared_keys(signatures)
-    digests = save(signatures.drop(*[f"k{b}" for b in range(BANDS)]).join(members.select("node").distinct(), "node", "left_semi"))
+    digests = save(sketches(signatures.join(members.select("node").distinct(), "node", "left_semi")))
     drop(signatures)
     verify = verify_pairs(lines.select(F.col("h").alias("node"), "line"), width, similarity)
     labels = link_buckets(members, verify, _agree(), digests, rounds=4)
