@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_intent, worth_embedding
 from ..operators import annotations as notes
 from ..operators import archetypes, hierarchy, ingest, labels, listing, metrics, sentiment, sequences, topics
-from ..sources import scratch, tables, transcripts
+from ..sources import keyed, scratch, tables, transcripts
 from ..streaming import labelling
 from .fixtures import Inputs, duck
 
@@ -143,6 +143,18 @@ def clusters_replaced(x):
     return x.spark.read.parquet(path).select("turn_id", "cluster_id", "cluster_type")
 
 
+@query("select turn_id || ':failure' as member, turn_id, cluster_id, 'failure' as cluster_type from members union all select turn_id || ':faq', turn_id, cluster_id + 10, 'faq' from members where cluster_id is not null", "members")
+def clusters_merged(x):
+    """As clusters_replaced, in a table kept by key: the other type's rows and the new ones become visible at once."""
+    path, kind = scratch.folder(x.spark), F.lit("faq").alias("cluster_type")
+    keyed_by = lambda df: df.withColumn("member", F.concat_ws(":", "turn_id", "cluster_type"))
+    first = x.members.select("turn_id", "cluster_id", F.explode(F.array(F.lit("faq"), F.lit("failure"))).alias("cluster_type"))
+    again = x.members.where("cluster_id is not null").select("turn_id", (F.col("cluster_id") + 10).alias("cluster_id"), kind)
+    keyed.merge(path, keyed_by(first), "member")
+    keyed.merge(path, keyed_by(again), "member", instead_of=F.col("cluster_type") == "faq")
+    return keyed.read(x.spark, path)
+
+
 @query("select turn_id, raw_text from members", "members")
 def json_export(x):
     path = scratch.folder(x.spark)
@@ -372,6 +384,15 @@ def labels_upsert(x):
     return labels.upsert(old, new)
 
 
+@query(CLIENT_TURNS.replace(", t as", "with t as", 1) + " select turn_id, case when conv_id % 3 = 0 then 'new' else 'old' end as intent, case when conv_id % 3 = 0 then 2 else 1 end as batch from t")
+def labels_merged(x):
+    """As labels_upsert, in a table kept by key; only the buckets of new labels are written again."""
+    path, turns = scratch.folder(x.spark), x.turns.select("turn_id", "conversation_id")
+    keyed.merge(path, turns.select("turn_id", F.lit("old").alias("intent"), F.lit(1).alias("batch")), "turn_id")
+    keyed.merge(path, turns.where("cast(conversation_id as long) % 3 = 0").select("turn_id", F.lit("new").alias("intent"), F.lit(2).alias("batch")), "turn_id", "batch")
+    return keyed.read(x.spark, path)
+
+
 @query(CLIENT_TURNS.replace(", t as", "with t as", 1) + " select turn_id, case when role = 'client' then 'greeting' else 'follow_up' end as intent, case when role = 'client' then 0.9 else 0.8 end::double as intent_confidence, case when role = 'client' then 0.0 end::double as sentiment from todo where length(left(raw_text, 2000)) % 10 <> 0")
 def label_turns(x):
     def labeler(asked):
