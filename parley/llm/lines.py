@@ -190,9 +190,10 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     members = shared_keys(signatures)
     digests = save(sketches(signatures.join(members.select("node").distinct(), "node", "left_semi")))
     drop(signatures)
-    verify = verify_pairs(lines.select(F.col("h").alias("node"), "line"), width, similarity)
-    labels = link_buckets(members, verify, _agree(), digests, rounds=4)
-    drop(digests)
+    # each round compares some of these lines, so they are taken out of the documents once
+    held = save(lines.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
+    labels = link_buckets(members, verify_pairs(held, width, similarity), _agree(), digests)
+    drop(digests, held)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
     stays = linked.groupBy("label").agg(F.min("first").alias("stay"))
