@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_intent, worth_embedding
 from ..operators import annotations as notes
-from ..operators import archetypes, hierarchy, ingest, labels, listing, metrics, sentiment, sequences, topics
+from ..operators import archetypes, hierarchy, ingest, labels, layout, listing, metrics, sentiment, sequences, topics
 from ..sources import keyed, scratch, tables, transcripts
 from ..streaming import labelling
 from .fixtures import Inputs, duck
@@ -703,6 +703,20 @@ def turn_coords(x):
     return topics.turn_coords(corpus.select("turn_id", r[0].alias("x"), r[1].alias("y")), found, "faq")
 
 
+@query()
+def turn_layout(x):
+    """As turn_coords, with coordinates that keep neighbours."""
+    corpus = topics.reduce(topics.embed(topics.cluster_corpus(x.turns, x.convs)), topics.DIMENSIONS).select("turn_id", F.xxhash64("turn_id").alias("id"), "reduced")
+    found = topics.density_clusters(corpus.select("id", "reduced"), 0.35).join(corpus.select("id", "turn_id"), "id").select("turn_id", "cluster")
+    placed = layout.coordinates(corpus.select("id", "reduced")).join(corpus.select("id", "turn_id"), "id")
+    return topics.turn_coords(placed.select("turn_id", "x", "y"), found, "faq")
+
+
+@query()
+def neighbour_graph(x):
+    return layout.neighbour_graph(_vectors(x))
+
+
 @query(", ids as (select cluster_id as c, md5('faq:' || min(turn_id)) as id from members where cluster_id is not null group by 1) select 'faq' as cluster_type, turn_id, x, y, coalesce(id, 'noise') as cluster_id from members left join ids on c = cluster_id", "members")
 def turn_coords_clusters(x):
     m = x.members

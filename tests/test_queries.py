@@ -48,9 +48,12 @@ def test_rows_only(spark, name):
         sizes = Counter(r.cluster for r in got)
         assert all(n >= 5 for c, n in sizes.items() if c is not None) and len({r.id for r in got}) == len(got)
         assert all(c in {r.id for r in got if r.cluster == c} for c in sizes if c is not None)
-    elif name == "turn_coords":
+    elif name in ("turn_coords", "turn_layout"):
         sizes = Counter(r.cluster_id for r in got)
         assert len({r.turn_id for r in got}) == len(got) and {r.cluster_type for r in got} == {"faq"}
         assert all(math.isfinite(r.x) and math.isfinite(r.y) for r in got) and all(n >= 5 for c, n in sizes.items() if c is not None)
+    elif name == "neighbour_graph":
+        assert len({(r.id, r.other) for r in got}) == len(got) and all(r.id != r.other and r.d >= 0 for r in got)
+        assert max(Counter(r.id for r in got).values()) == 15
     else:
         raise AssertionError(f"{name} has neither SQL nor properties")
