@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_intent, worth_embedding
 from ..operators import annotations as notes
 from ..operators import archetypes, hierarchy, ingest, labels, layout, listing, metrics, sentiment, sequences, topics
-from ..sources import keyed, scratch, tables, transcripts
+from ..sources import colocated, keyed, scratch, tables, transcripts
 from ..streaming import labelling
 from .fixtures import Inputs, duck
 
@@ -449,6 +449,17 @@ def transition_table(x):
     return _rounded(_table(x), "conv_rate", "p_lost", "prob")
 
 
+def _colocated(df, buckets=8):
+    """df as a table of a new name, bucketed by conversation."""
+    path = scratch.folder(df.sparkSession)
+    return colocated.write(df, path.rsplit("/", 1)[-1].replace("-", "_"), path, buckets)
+
+
+@query(STEPS + "select from_state, to_state, n, round(conv_rate, 6) as conv_rate, round(p_lost, 6) as p_lost, round(prob, 6) as prob from tab", "convs", "signals")
+def transition_table_colocated(x):
+    return _rounded(sequences.transition_table(_colocated(x.signals), _colocated(x.convs)), "conv_rate", "p_lost", "prob")
+
+
 @query(
     """, steps as (select intent as from_state, coalesce(lead(intent) over (partition by conversation_id order by turn_index), case when converted then 'CLOSED' else 'LOST' end) as to_state, converted from ev)
 select from_state, to_state, count(*) as n, round(avg(converted::int), 6) as conv_rate, round(1 - avg(converted::int), 6) as p_lost, round(count(*) / sum(count(*)) over (partition by from_state), 6) as prob from steps group by 1, 2""",
