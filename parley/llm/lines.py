@@ -29,9 +29,9 @@ BANDS = 16
 #: too few, and are signed with shingles of 4 that are in all bands: 1 - (1 - 0.8**5)**16 = 0.998.
 #: Neighbouring classes overlap by a factor of 1.25, so two sets at 0.8 have a class in common.
 CLASSES = ((0, 64, 4, 5, BANDS), (52, 200, 6, 4, 2), (160, 400, 6, 4, 1), (320, 1600, 6, 4, 0.5), (1280, None, 6, 4, 0.125))
-#: Of the first four minima of each band one byte is kept, and two lines are compared in full where so many of the
-#: 64 are equal: at 0.71 46 are expected, with a deviation of 4.
-KEPT, AGREE = 4, 32
+#: A digest has 64 bits a band, one set by each shingle. Two lines are compared in full where their digests differ in no more
+#: bits than a third of the mean number that is set, and three deviations.
+DIFFER = 1 / 3
 
 
 def _units(line: str) -> Column:
@@ -67,8 +67,8 @@ def _extent(line: str, units: Column, width: int = SHINGLE) -> Column:
 
 
 def banded(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
-    """(node, class, band, key, d): for each class of a line and each band that has a shingle of it, the band's key and a byte
-    each of its minima. lines: (h, line), partitioned by h, so that no shingle is shuffled, and n, their _extent, where it is
+    """(node, class, band, key, d): for each class of a line and each band that has a shingle of it, the band's key and its 64
+    bits of the digest. lines: (h, line), partitioned by h, so that no shingle is shuffled, and n, their _extent, where it is
     known. Classes that differ only in how many shingles are looked at are one pass."""
     units = lines.withColumn("u", _units("line"))
     units = units.select("h", F.col("n") if "n" in lines.columns else _extent("line", F.col("u")).alias("n"), "u")
@@ -88,22 +88,25 @@ def banded(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> Da
         all_ = x.select("h", "class", "x", band.alias("band"))
         # orders of a band's own shingles by bits 13 apart; where bands share them, by a hash for each
         order = [F.xxhash64("x", F.col("band") * rows + r) if per == bands else F.shiftleft("x", 13 * r) for r in range(rows)]
-        minima = all_.groupBy("h", "class", "band").agg(*[F.min(o).alias(f"m{r}") for r, o in enumerate(order)])
-        byte = lambda r: F.shiftleft(F.shiftrightunsigned(f"m{r}", 45).bitwiseAND(255).cast("int"), 8 * r)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("x", 20).bitwiseAND(63).cast("int"))
+        # in the digest no shingle is in all bands
+        bit = F.when(bytes_[0] == F.col("band"), bit).otherwise(F.lit(0).cast("long")) if per == bands else bit
+        minima = all_.groupBy("h", "class", "band").agg(F.bit_or(bit).alias("d"), *[F.min(o).alias(f"m{r}") for r, o in enumerate(order)])
         key = F.xxhash64(F.col("class").cast("int"), "band", *[f"m{r}" for r in range(rows)])
-        made.append(minima.select(F.col("h").alias("node"), "class", F.col("band").cast("byte").alias("band"), key.alias("key"), reduce(Column.bitwiseOR, map(byte, range(KEPT))).alias("d")))
+        made.append(minima.select(F.col("h").alias("node"), "class", F.col("band").cast("byte").alias("band"), key.alias("key"), "d"))
     return reduce(DataFrame.unionByName, made)
 
 
 def sketches(banded: DataFrame, bands: int = BANDS, keys: bool = False) -> DataFrame:
-    """(node, class, d0, ...): the bytes of all bands in one row, 0 for a band without a shingle; with `keys` also k0, ..., null for it."""
+    """(node, class, p, d0, ...): the digest in one row, 0 for a band without a shingle, and the number of its bits that are set;
+    with `keys` also k0, ..., null for such a band."""
     of = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c)))
     named = [of("key", b).alias(f"k{b}") for b in range(bands)] if keys else []
-    return banded.groupBy("node", "class").agg(*named, *[F.coalesce(of("d", b), F.lit(0)).alias(f"d{b}") for b in range(bands)])
+    return banded.groupBy("node", "class").agg(*named, F.sum(F.bit_count("d")).cast("int").alias("p"), *[F.coalesce(of("d", b), F.lit(0).cast("long")).alias(f"d{b}") for b in range(bands)])
 
 
 def signed(lines: DataFrame, classes: tuple = CLASSES, bands: int = BANDS) -> DataFrame:
-    """(node, class, k0, ..., d0, ...): the keys of a line and the bytes of their minima, once for each of its classes."""
+    """(node, class, k0, ..., p, d0, ...): the keys of a line and its digest, once for each of its classes."""
     return sketches(banded(lines, classes, bands), bands, keys=True)
 
 
@@ -120,15 +123,15 @@ def shared_keys(banded: DataFrame, rounds: int = 4) -> DataFrame:
     return members
 
 
-def _agree(bands: int = BANDS, least: int = AGREE):
-    """Two signatures are of one class and at least so many of their bytes are equal."""
-    low, high = F.lit(0x7F7F7F7F).cast("long"), F.lit(0x80808080).cast("long")
+def _agree(bands: int = BANDS, differ: float = DIFFER):
+    """Two signatures are of one class and their digests differ in few of their bits."""
 
     def could(x: str, y: str) -> Column:
-        diff = [F.col(f"{x}d{b}").bitwiseXOR(F.col(f"{y}d{b}")).cast("long").bitwiseAND(0xFFFFFFFF) for b in range(bands)]
-        # 128 is set in each byte that is not zero
-        unequal = reduce(Column.__add__, [F.bit_count((d.bitwiseAND(low) + low).bitwiseOR(d).bitwiseAND(high)) for d in diff])
-        return (F.col(f"{x}class") == F.col(f"{y}class")) & (unequal <= bands * KEPT - least)
+        unequal = reduce(Column.__add__, [F.bit_count(F.col(f"{x}d{b}").bitwiseXOR(F.col(f"{y}d{b}"))) for b in range(bands)])
+        mean = (F.col(f"{x}p") + F.col(f"{y}p")) * (differ / 2)
+        most = mean + 3 * F.sqrt(mean) + 2
+        # the numbers differ by no more than the bits
+        return (F.col(f"{x}class") == F.col(f"{y}class")) & (F.abs(F.col(f"{x}p") - F.col(f"{y}p")) <= most) & (unequal <= most)
 
     return could
 
@@ -139,32 +142,31 @@ def _alike(similarity: float) -> Column:
     return den * F.col("i") >= num * F.col("u")
 
 
-#: Pairs that a task counts together (about 100 bytes a shingle of theirs), and partitions at most; beyond, counts spill.
-PAIRS, PARTS = 1000, 20_000
+def _common(a: str, b: str, width: int) -> Column:
+    """(i, u): the sizes of the intersection and the union of two lines' sets of shingles, within their row."""
+
+    def shingles(units: Column) -> Column:
+        # an array of one binds the units
+        last = lambda u: F.greatest(F.lit(1), (F.length(u) / 2).cast("int") - width + 1)
+        each = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), last(u)), lambda i: F.xxhash64(F.substring(u, i * 2 - 1, F.lit(2 * width)))))
+        return F.element_at(F.transform(F.array(units), each), 1)
+
+    sets = F.struct(shingles(_units(a)).alias("a"), shingles(_units(b)).alias("b"))
+    sizes = F.transform(F.array(sets), lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("i"), (F.size(s["a"]) + F.size(s["b"])).alias("both")))
+    return F.element_at(F.transform(sizes, lambda s: F.struct(s["i"].alias("i"), (s["both"] - s["i"]).alias("u"))), 1)
 
 
 def verify_pairs(lines: DataFrame, width: int, similarity: float):
-    """Of pairs (a, b) those whose sets of shingles are at the similarity. lines: (node, line), a node repeated or not."""
+    """Of pairs (a, b) those whose sets of shingles are at the similarity, each compared within its row, so that pairs of one
+    node need not meet in a task. lines: (node, line), a node repeated or not."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        total = pairs.count()
-        if not total:
-            return pairs
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = save(lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"))
-        n = min(PARTS, max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PAIRS))
-        # the node of fewer pairs places a pair, so that one that all others are tried against does not
-        degree = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
-        known = lambda x: degree.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-        turned = pairs.join(known("a"), "a").join(known("b"), "b").select(F.when(F.col("n_a") > F.col("n_b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b")).alias("p")).select(F.col("p.b").alias("a"), F.col("p.a").alias("b"))
-        both = turned.join(side("a"), "a").repartition(n, "b").join(side("b").repartition(n, "b"), "b")
-        sides = F.array(*[F.struct(F.lit(k).alias("side"), _units(f"line_{x}").alias("u")) for k, x in ((1, "a"), (2, "b"))])
-        each = both.select("a", "b", F.explode(sides).alias("s")).select("a", "b", F.col("s.side").alias("side"), F.col("s.u").alias("u"))
-        found = _exploded(each, width, "a", "b", "side").groupBy("a", "b", "x").agg(F.bit_or("side").alias("side"))
-        counts = found.groupBy("a", "b").agg(F.count_if(F.col("side") == 3).alias("i"), F.count("*").alias("u"))
-        linked = save(counts.where(_alike(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        drop(texts, degree)
+        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        linked = save(both.select("a", "b", F.inline(F.array(_common("line_a", "line_b", width)))).where(_alike(similarity)).select("a", "b"))
+        drop(texts)
         return linked
 
     return verify

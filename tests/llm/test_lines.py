@@ -96,3 +96,31 @@ def test_repeated_shingles(spark):
     want = brute_lines(docs, WIDTH)
     got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got if r.n_removed} == want and len(want) >= 15
+
+
+def test_pairs_compared_within_their_row(spark, monkeypatch):
+    """No row for each shingle of a pair is made or shuffled, whatever the number of pairs."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(200)) for _ in range(5)]
+    rows = [(i, x if i < 5 else x[:100] + "z" * (i - 4) + x[100:]) for i, x in enumerate(base * 5)]
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "a long, b long")
+    plans, save = [], lines.save
+    monkeypatch.setattr(lines, "save", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(df))
+    got = lines.verify_pairs(spark.createDataFrame(rows, "node long, line string"), WIDTH, 0.8)(pairs)
+    sets = [{x[i : i + WIDTH] for i in range(len(x) - WIDTH + 1)} for _, x in rows]
+    want = {(a, b) for a, b in pairs.collect() if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in got.collect()} == want and 20 < len(want) < len(rows) * (len(rows) - 1) // 2
+    assert plans and not any("explode(sequence(" in plan for plan in plans)
+
+
+def test_digests_tell_pairs_below_the_threshold_apart(spark):
+    """Lines at about 0.65 are seldom compared in full."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(200):
+        x = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(390)]
+        y = list(x)
+        for k in range(20):
+            y[8 + 19 * k] = "z"
+        pairs.append(("".join(x), "".join(y)))
+    assert missed(spark, pairs) > 0.9
