@@ -7,6 +7,7 @@ shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,22 +46,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 SLICE = 256
 
 
-def _whole_buckets(labelled: DataFrame, could: Callable[[str, str], F.Column], sketches: DataFrame | None) -> DataFrame:
+def _whole_buckets(labelled: DataFrame, could: Callable[[str, str], F.Column], sketches: DataFrame | None, slices: Callable[[F.Column], F.Column], parts: int) -> DataFrame:
     """(a, b): of all pairs of a bucket in different components those that pass `could`, tested
-    inside the join, so that no other pair leaves it. Large buckets are dealt by slices."""
+    inside the join, so that no other pair leaves it. Large buckets are dealt by slices, and so many
+    parts of the buckets follow one another, as each member is shipped with its sketch."""
     sizes = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_c")).where("_l < _h")
-    some = save(labelled.join(sizes.select("key", F.ceil(F.col("_c") / SLICE).cast("int").alias("_c")), "key"))
-    full = some.join(sketches, "node") if sketches is not None else some
-    named = lambda x, at: full.select("key", at.alias("_slice"), *[F.col(c).alias(f"{x}{c}") for c in full.columns if c not in ("key", "_c")])
-    x = named("x_", F.pmod(F.xxhash64("node", F.lit(1)), "_c").cast("int"))
-    y = named("y_", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    both = x.join(y, ["key", "_slice"]).where((F.col("x_label") < F.col("y_label")) & could("x_", "y_"))
-    pairs = save(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+    some = save(labelled.join(sizes.select("key", slices(F.col("_c")).cast("int").alias("_c")), "key"))
+    found = []
+    for part in range(parts):
+        own = some.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else some
+        full = own.join(sketches, "node") if sketches is not None else own
+        named = lambda x, at: full.select("key", at.alias("_slice"), *[F.col(c).alias(f"{x}{c}") for c in full.columns if c not in ("key", "_c")])  # noqa: B023, E731
+        x = named("x_", F.pmod(F.xxhash64("node", F.lit(1)), "_c").cast("int"))
+        y = named("y_", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+        both = x.join(y, ["key", "_slice"]).where((F.col("x_label") < F.col("y_label")) & could("x_", "y_"))
+        found.append(save(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()))
+    pairs = found[0]
+    if parts > 1:
+        pairs = save(reduce(DataFrame.unionByName, found).distinct())
+        drop(*found)
     drop(some)
     return pairs
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: DataFrame | None = None, rounds: int = 2, prefer: tuple[str, ...] = ()) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: DataFrame | None = None, rounds: int = 2, prefer: tuple[str, ...] = (), slices: Callable[[F.Column], F.Column] = lambda c: F.ceil(c / SLICE), parts: int = 1) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
@@ -68,6 +77,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     could: a condition on columns of two members, prefixed x_ and y_, that true links pass.
     sketches: a table by node whose columns `could` reads.
     prefer: columns of which a low value lets a member pass `could` more often.
+    slices: into how many slices a bucket of so many members is cut in the last step; it is shipped once for each.
+    parts: so many parts of the buckets follow one another in the last step, so that less is shipped at once.
 
     In each round every bucket names one member, and every node is verified against one of those
     named by its buckets, from the second round on against eight, so that a group of copies costs its
@@ -87,7 +98,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
             mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
             labelled = keep(labelled.join(mixed, "key", "left_semi"))
         if step == rounds:
-            pairs = _whole_buckets(labelled, could, sketches)
+            pairs = _whole_buckets(labelled, could, sketches, slices, parts)
             made.append(pairs)
         else:
             turn = F.col("node") if not step else F.struct(*prefer, F.xxhash64("node", "key", F.lit(step)))

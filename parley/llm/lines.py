@@ -136,6 +136,11 @@ def _agree(bands: int = BANDS, differ: float = DIFFER):
     return could
 
 
+def _slices(members: Column) -> Column:
+    """A slice is 16 times the root of its bucket, so that what is shipped grows with the power 1.5 of a bucket and not its square."""
+    return F.ceil(F.sqrt(members) / 16)
+
+
 def _alike(similarity: float) -> Column:
     """Whether an intersection of i elements and a union of u reach the similarity, in whole numbers."""
     num, den = Fraction(str(similarity)).as_integer_ratio()
@@ -194,7 +199,7 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     drop(signatures)
     # each round compares some of these lines, so they are taken out of the documents once
     held = save(lines.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
-    labels = link_buckets(members, verify_pairs(held, width, similarity), _agree(), digests)
+    labels = link_buckets(members, verify_pairs(held, width, similarity), _agree(), digests, slices=_slices, parts=4)
     drop(digests, held)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from parley.llm import lines
+from parley.llm import components, lines
 
 from .test_operators import brute_lines
 
@@ -124,3 +124,19 @@ def test_digests_tell_pairs_below_the_threshold_apart(spark):
             y[8 + 19 * k] = "z"
         pairs.append(("".join(x), "".join(y)))
     assert missed(spark, pairs) > 0.9
+
+
+def test_slices(spark):
+    """A bucket that is 64 times as large is shipped in 8 times as many slices, not in 64 times."""
+    got = [lines._slices(F.lit(c)) for c in (2, 256, 1024, 65536)]
+    assert spark.range(1).select(*got).first()[:] == (1, 1, 2, 16)
+
+
+def test_last_step_in_parts(spark):
+    """Parts of the buckets find the pairs that all at once do."""
+    rows = [(k, n, n) for k in range(9) for n in range(k, 30, k + 1)]
+    labelled = spark.createDataFrame(rows, "key long, node long, label long")
+    could = lambda x, y: F.col(f"{x}node") % 3 == F.col(f"{y}node") % 3
+    got = [components._whole_buckets(labelled, could, None, lines._slices, parts) for parts in (1, 4)]
+    one, four = (sorted(tuple(r) for r in df.collect()) for df in got)
+    assert one == four == sorted({(a, b) for k, a, _ in rows for j, b, _ in rows if k == j and a < b and a % 3 == b % 3})
