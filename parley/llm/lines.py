@@ -29,6 +29,8 @@ BANDS = 16
 #: too few, and are signed with shingles of 4 that are in all bands: 1 - (1 - 0.8**5)**16 = 0.998.
 #: Neighbouring classes overlap by a factor of 1.25, so two sets at 0.8 have a class in common.
 CLASSES = ((0, 64, 4, 5, BANDS), (52, 200, 6, 4, 2), (160, 400, 6, 4, 1), (320, 1600, 6, 4, 0.5), (1280, None, 6, 4, 0.125))
+#: Words of 64 bits of the digests that hold every shingle; the last step alone has them.
+WORDS = 32
 #: A digest has 64 bits a band, one set by each shingle. Two lines are compared in full where their digests differ in no more
 #: bits than a third of the mean number that is set, and three deviations.
 DIFFER = 1 / 3
@@ -117,7 +119,8 @@ def shared_keys(banded: DataFrame, rounds: int = 4) -> DataFrame:
     for at in range(rounds):
         some = banded.where(F.col("band") % rounds == at).select("node", "key")
         often = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        found.append(save(some.join(often, "key", "left_semi").select("key", "node")))
+        # few keys are shared, so their side is hashed and all the others need no sort
+        found.append(save(some.join(often.hint("shuffle_hash"), "key", "left_semi").select("key", "node")))
     members = save(reduce(DataFrame.unionByName, found))
     drop(*found)
     return members
@@ -136,6 +139,36 @@ def _agree(bands: int = BANDS, differ: float = DIFFER):
     return could
 
 
+def _exact(classes: tuple = CLASSES, width: int = SHINGLE) -> tuple:
+    """Classes whose digests hold every shingle that is compared, of lines without an upper length an eighth of them."""
+    return tuple((least, most, width, 1, 1 if most is not None else 0.125) for least, most, *_ in classes)
+
+
+def exact_sketches(lines: DataFrame, classes: tuple = CLASSES, width: int = SHINGLE, bands: int = WORDS) -> DataFrame:
+    """(node, class, p, d0, ..., s, f): digests of the shingles that are compared; s: how many these are, estimated from the bits
+    set; f: variance of a digest's differing bits, as a part of their number. lines: (h, line), partitioned by h."""
+    most, drawn = 64 * bands, [k for k, c in enumerate(_exact(classes, width)) if c[4] < 1]
+    out = sketches(banded(lines, _exact(classes, width), bands), bands)
+    size = F.log(1 - F.least("p", F.lit(most - 1)) / most) * -most
+    return out.withColumns({"s": size, "f": F.when(F.col("class").isin(drawn), 1.5).otherwise(F.col("p") / most)})
+
+
+def _close(similarity: float, bands: int = WORDS):
+    """Two exact sketches are of one class and differ in no more bits than sets at the similarity do, and three deviations; of
+    the buckets that two nodes share (keys) the one of least key names the pair."""
+
+    def could(x: str, y: str) -> Column:
+        most = 64 * bands
+        unequal = reduce(Column.__add__, [F.bit_count(F.col(f"{x}d{b}").bitwiseXOR(F.col(f"{y}d{b}"))) for b in range(bands)])
+        union = (F.col(f"{x}s") + F.col(f"{y}s")) / (1 + similarity)
+        # bits that no shared shingle sets and one of the others does
+        mean = F.exp(union * (-similarity / most)) * (1 - F.exp(union * ((similarity - 1) / most))) * most
+        near = unequal <= mean + 3 * F.sqrt(mean * F.greatest(f"{x}f", f"{y}f")) + 2
+        return (F.col(f"{x}class") == F.col(f"{y}class")) & near & (F.array_min(F.array_intersect(f"{x}keys", f"{y}keys")) == F.col("key"))
+
+    return could
+
+
 def _slices(members: Column) -> Column:
     """A slice is 16 times the root of its bucket, so that what is shipped grows with the power 1.5 of a bucket and not its square."""
     return F.ceil(F.sqrt(members) / 16)
@@ -195,11 +228,23 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     sized = lines.withColumn("n", _extent("line", _units("line"))).groupBy("h").agg(F.any_value("line").alias("line"), F.any_value("n").alias("n"))
     signatures = save(banded(sized, classes))
     members = shared_keys(signatures)
-    digests = save(sketches(signatures.join(members.select("node").distinct(), "node", "left_semi")))
+    nodes = save(members.select("node").distinct())
+    few = nodes.hint("shuffle_hash")
+    # half of the bands at a time, as all lines' are shuffled
+    halves = [save(signatures.where(F.col("band") % 2 == at).drop("key").join(few, "node", "left_semi")) for at in (0, 1)]
     drop(signatures)
+    digests = save(sketches(reduce(DataFrame.unionByName, halves)))
+    drop(*halves)
     # each round compares some of these lines, so they are taken out of the documents once
-    held = save(lines.select(F.col("h").alias("node"), "line").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
-    labels = link_buckets(members, verify_pairs(held, width, similarity), _agree(), digests, slices=_slices, parts=4)
+    held = save(lines.select(F.col("h").alias("node"), "line").join(few, "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
+    drop(nodes)
+
+    def finer(buckets: DataFrame):
+        keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        own = held.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("h"), "line").repartition("h")
+        return save(exact_sketches(own, classes, width).join(keys, "node")), _close(similarity)
+
+    labels = link_buckets(members, verify_pairs(held, width, similarity), _agree(), digests, slices=_slices, finer=finer)
     drop(digests, held)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))

@@ -140,3 +140,54 @@ def test_last_step_in_parts(spark):
     got = [components._whole_buckets(labelled, could, None, lines._slices, parts) for parts in (1, 4)]
     one, four = (sorted(tuple(r) for r in df.collect()) for df in got)
     assert one == four == sorted({(a, b) for k, a, _ in rows for j, b, _ in rows if k == j and a < b and a % 3 == b % 3})
+
+
+def near(spark, pairs):
+    """Of pairs of lines in one bucket those that the last step's digests let pass."""
+    rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    got = lines.exact_sketches(spark.createDataFrame(rows, "h long, line string").repartition("h")).withColumn("keys", F.expr("array(0L, node div 2)"))
+    a, b = (got.where(F.expr(f"node % 2 = {k}")).select(F.expr("node div 2").alias("pair"), *[F.col(c).alias(f"{x}{c}") for c in got.columns]) for k, x in ((0, "x_"), (1, "y_")))
+    return a.join(b, "pair").withColumn("key", F.lit(0).cast("long")).where(lines._close(0.8)("x_", "y_")).select("pair").distinct().count() / len(pairs)
+
+
+def test_last_digests(spark):
+    """At the threshold no more than one pair of 100 is lost at any length; at 0.7, which the signing digests let pass, next to none is compared in full."""
+    rng = random.Random(12)
+
+    def pairs(n, wrong):
+        made = []
+        for _ in range(150):
+            x = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)]
+            y = list(x)
+            for k in range(wrong):
+                y[5 + k * (n - 10) // wrong] = "z"
+            made.append(("".join(x), "".join(y)))
+        return made
+
+    for n in (20, 45, 64, 180, 400, 900, 1500, 6000):
+        assert near(spark, pairs(n, (n - 3) // 9 // 4)) >= 0.99, n
+    for n in (180, 400, 900):
+        assert near(spark, pairs(n, (n - 3) * 3 // 17 // 4 + 1)) <= 0.05, n
+
+
+def test_near_copies_that_do_not_link(spark, monkeypatch):
+    """A group of near copies under the threshold: pairs that share bands are named once, and few are compared in full."""
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(280)]
+    docs = []
+    for i in range(60):
+        x = list(base)
+        for k in range(6):
+            x[rng.randrange(46) + 46 * k] = chr(0x4E00 + 6 * i + k)
+        docs.append((i, "".join(x)))
+    compared, verify = [], lines.verify_pairs
+
+    def counted(*args):
+        own = verify(*args)
+        return lambda pairs: (compared.append(pairs.count()), own(pairs))[1]
+
+    monkeypatch.setattr(lines, "verify_pairs", counted)
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got if r.n_removed} == brute_lines(docs, WIDTH)
+    # the rounds before are linear; the last has all that is left of 1,770 pairs
+    assert compared[-1] < 60 and sum(compared) < 60 * 10, compared
