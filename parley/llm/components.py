@@ -69,7 +69,7 @@ def _whole_buckets(labelled: DataFrame, could: Callable[[str, str], F.Column], s
     return pairs
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: DataFrame | None = None, rounds: int = 2, prefer: tuple[str, ...] = (), slices: Callable[[F.Column], F.Column] = lambda c: F.ceil(c / SLICE), parts: int = 1, finer: Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], F.Column]]] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[str, str], F.Column], sketches: DataFrame | None = None, rounds: int = 2, prefer: tuple[str, ...] = (), slices: Callable[[F.Column], F.Column] = lambda c: F.ceil(c / SLICE), parts: int = 1, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the nodes that share a bucket and pass `verify`: (node, label).
 
     members: (key long, node long, and columns that `could` reads), one row per key and node.
@@ -79,8 +79,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     prefer: columns of which a low value lets a member pass `could` more often.
     slices: into how many slices a bucket of so many members is cut in the last step; it is shipped once for each.
     parts: so many parts of the buckets follow one another in the last step, so that less is shipped at once.
-    finer: gets the buckets (key, node) of the last step and returns other sketches of their nodes, saved, and a condition on
-        these and the bucket's key.
+    last: verifies the pairs of the last step, where a node can have many.
 
     In each round every bucket names one member, and every node is verified against one of those
     named by its buckets, from the second round on against eight, so that a group of copies costs its
@@ -100,9 +99,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
             mixed = labelled.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
             labelled = keep(labelled.join(mixed, "key", "left_semi"))
         if step == rounds:
-            if finer is not None:
-                sketches, could = finer(labelled.select("key", "node"))
-                made.append(sketches)
             pairs = _whole_buckets(labelled, could, sketches, slices, parts)
             made.append(pairs)
         else:
@@ -127,7 +123,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
-        found = verify(pairs)
+        found = (last if last and step == rounds else verify)(pairs)
         if hasattr(found, "_scratch"):
             made += [] if found is pairs else [found]
         else:

@@ -29,8 +29,6 @@ BANDS = 16
 #: too few, and are signed with shingles of 4 that are in all bands: 1 - (1 - 0.8**5)**16 = 0.998.
 #: Neighbouring classes overlap by a factor of 1.25, so two sets at 0.8 have a class in common.
 CLASSES = ((0, 64, 4, 5, BANDS), (52, 200, 6, 4, 2), (160, 400, 6, 4, 1), (320, 1600, 6, 4, 0.5), (1280, None, 6, 4, 0.125))
-#: Words of 64 bits of the digests that hold every shingle; the last step alone has them.
-WORDS = 32
 #: A digest has 64 bits a band, one set by each shingle. Two lines are compared in full where their digests differ in no more
 #: bits than a third of the mean number that is set, and three deviations.
 DIFFER = 1 / 3
@@ -144,7 +142,7 @@ def _exact(classes: tuple = CLASSES, width: int = SHINGLE) -> tuple:
     return tuple((least, most, width, 1, 1 if most is not None else 0.125) for least, most, *_ in classes)
 
 
-def exact_sketches(lines: DataFrame, classes: tuple = CLASSES, width: int = SHINGLE, bands: int = WORDS) -> DataFrame:
+def exact_sketches(lines: DataFrame, classes: tuple = CLASSES, width: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """(node, class, p, d0, ..., s, f): digests of the shingles that are compared; s: how many these are, estimated from the bits
     set; f: variance of a digest's differing bits, as a part of their number. lines: (h, line), partitioned by h."""
     most, drawn = 64 * bands, [k for k, c in enumerate(_exact(classes, width)) if c[4] < 1]
@@ -153,9 +151,8 @@ def exact_sketches(lines: DataFrame, classes: tuple = CLASSES, width: int = SHIN
     return out.withColumns({"s": size, "f": F.when(F.col("class").isin(drawn), 1.5).otherwise(F.col("p") / most)})
 
 
-def _close(similarity: float, bands: int = WORDS):
-    """Two exact sketches are of one class and differ in no more bits than sets at the similarity do, and three deviations; of
-    the buckets that two nodes share (keys) the one of least key names the pair."""
+def _close(similarity: float, bands: int = BANDS):
+    """Two exact sketches are of one class and differ in no more bits than sets at the similarity do, and three deviations."""
 
     def could(x: str, y: str) -> Column:
         most = 64 * bands
@@ -164,7 +161,7 @@ def _close(similarity: float, bands: int = WORDS):
         # bits that no shared shingle sets and one of the others does
         mean = F.exp(union * (-similarity / most)) * (1 - F.exp(union * ((similarity - 1) / most))) * most
         near = unequal <= mean + 3 * F.sqrt(mean * F.greatest(f"{x}f", f"{y}f")) + 2
-        return (F.col(f"{x}class") == F.col(f"{y}class")) & near & (F.array_min(F.array_intersect(f"{x}keys", f"{y}keys")) == F.col("key"))
+        return (F.col(f"{x}class") == F.col(f"{y}class")) & near
 
     return could
 
@@ -239,12 +236,19 @@ def dedup_lines(docs: DataFrame, width: int = SHINGLE, classes: tuple = CLASSES,
     held = save(lines.select(F.col("h").alias("node"), "line").join(few, "node", "left_semi").groupBy("node").agg(F.any_value("line").alias("line")))
     drop(nodes)
 
-    def finer(buckets: DataFrame):
-        keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        own = held.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("h"), "line").repartition("h")
-        return save(exact_sketches(own, classes, width).join(keys, "node")), _close(similarity)
+    verify = verify_pairs(held, width, similarity)
 
-    labels = link_buckets(members, verify_pairs(held, width, similarity), _agree(), digests, slices=_slices, finer=finer)
+    def last(pairs: DataFrame) -> DataFrame:
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = held.join(some, "node", "left_semi").select(F.col("node").alias("h"), "line").repartition("h")
+        exact = save(exact_sketches(own, classes, width))
+        side = lambda x, at: exact.select(F.col("node").alias(at), *[F.col(c).alias(f"{x}{c}") for c in exact.columns if c != "node"])
+        near = save(pairs.join(side("x_", "a"), "a").join(side("y_", "b"), "b").where(_close(similarity)("x_", "y_")).select("a", "b").distinct())
+        found = verify(near)
+        drop(exact, near)
+        return found
+
+    labels = link_buckets(members, verify, _agree(), digests, slices=_slices, parts=4, last=last)
     drop(digests, held)
     # lines that are not alone, with the place of the one that stays
     linked = first.join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "h"))
