@@ -84,9 +84,8 @@ def operator_intervention(x):
 
 @query("select cast(conv_id as varchar) as conversation_id, count(*) filter (role = 'user') = 1 and max(length(trim(text))) filter (role = 'user') < 2 as low_quality from (select conv_id, role, case when conv_id % 2 = 0 then left(text, 1) else text end as text from conversations) group by conv_id")
 def low_quality(x):
-    short = F.regexp_replace("messages", r'"content":"(.)(?:[^"\\]|\\.)*"', '"content":"$1"')
-    raw = x.raw.withColumn("messages", F.when(F.col("ordinal") % 2 == 0, short).otherwise(F.col("messages")))
-    parsed = ingest.parse_messages(raw).withColumn("conversation_id", ingest.conversation_id())
+    short = F.transform("msgs", lambda m: m.withField("content", F.left(m["content"], F.lit(1))))
+    parsed = x.parsed.withColumn("msgs", F.when(F.col("ordinal") % 2 == 0, short).otherwise(F.col("msgs")))
     return parsed.select("conversation_id", ingest.is_low_quality().alias("low_quality"))
 
 
