@@ -1,8 +1,25 @@
 """Texts and tables that are larger or odder than those of the smallest scale."""
 
+from pathlib import Path
+
 import duckdb
+import numpy as np
+from pyarrow import parquet
 
+from parley.operators.neighbours import blocks, count_near, distances, distinct, nearest
 from parley.plans.queries import ORACLES, QUERIES
+from parley.sources.scratch import folder
+
+SCHEMA = "id long, reduced array<double>"
+
+
+def points(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], SCHEMA)
+
+
+def written(spark):
+    """Rows in the folder that steps are written to."""
+    return sum(parquet.read_metadata(f).num_rows for f in Path(folder(spark).removeprefix("file:")).parent.rglob("*.parquet") if f.is_file())
 
 
 def test_low_quality_of_long_and_odd_texts(spark, tmp_path):
@@ -15,3 +32,35 @@ def test_low_quality_of_long_and_odd_texts(spark, tmp_path):
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     got = {r.conversation_id: r.low_quality for r in QUERIES["low_quality"](spark, str(tmp_path)).collect()}
     assert got == dict(con.sql(ORACLES["low_quality"]).fetchall()) and len(got) == len(texts) * 2 + 1
+
+
+def test_neighbours_without_structure(spark):
+    """Where no block can be left out, points are not written once for each of the blocks."""
+    x = np.random.default_rng(5).normal(0, 1, (600, 24))
+    d = distances(x, x)
+    eps, begun = float(np.median(d)), written(spark)
+    one = distinct(points(spark, x)).cache()
+    b = blocks(one, 6)
+    assert len(b.block) > 100
+    assert {r.id: r.n for r in count_near(one, b, eps).collect()} == dict(enumerate((d <= eps).sum(axis=1).tolist()))
+    np.fill_diagonal(d, np.inf)
+    near = {r.id: [(n.id, n.d) for n in r.near] for r in nearest(b, 7).collect()}
+    assert near == {i: [(int(j), row[j]) for j in np.argsort(row, kind="stable")[:7]] for i, row in enumerate(d)}
+    assert written(spark) - begun < 4 * len(x)
+
+
+def test_neighbours_far_from_the_origin(spark):
+    """Distances that products of matrices cannot tell, and such as have no finite square."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([1e8 + rng.integers(0, 40, (200, 2)) / 2, rng.normal(0, 1, (100, 2)), [[1e200, 0.0], [-1e200, 1.0]]])
+    x = np.unique(x, axis=0)
+    with np.errstate(over="ignore"):
+        d = distances(x, x)
+    one = distinct(points(spark, x)).cache()
+    b = blocks(one, 16)
+    assert {r.id: r.n for r in count_near(one, b, 1.5).collect()} == dict(enumerate((d <= 1.5).sum(axis=1).tolist()))
+    near = {r.id: [n.id for n in r.near] for r in nearest(b, 4).collect()}
+    np.fill_diagonal(d, np.inf)
+    for i, row in enumerate(d):
+        if np.isfinite(row).sum() >= 4:
+            assert near[i] == np.argsort(row, kind="stable")[:4].tolist()
