@@ -1,11 +1,13 @@
 """Texts and tables that are larger or odder than those of the smallest scale."""
 
+import math
 from pathlib import Path
 
 import duckdb
 import numpy as np
 from pyarrow import parquet
 
+from parley.operators import topics
 from parley.operators.neighbours import blocks, count_near, distances, distinct, nearest
 from parley.plans.queries import ORACLES, QUERIES
 from parley.sources.scratch import folder
@@ -64,3 +66,15 @@ def test_neighbours_far_from_the_origin(spark):
     for i, row in enumerate(d):
         if np.isfinite(row).sum() >= 4:
             assert near[i] == np.argsort(row, kind="stable")[:4].tolist()
+
+
+def test_core_distance_without_structure(spark):
+    """By all others, equal points as often as they occur, without writing a point once for each block."""
+    x = np.random.default_rng(7).normal(0, 1, (3000, 16)).round(6)
+    x[-30:] = x[:30]
+    begun = written(spark)
+    got = {r.id: r.core for r in topics.core_distance(points(spark, x)).collect()}
+    want = np.sort(distances(x, x), axis=1)[:, topics.MIN_CLUSTER]
+    assert len(got) == len(x) and all(got[i] == w for i, w in enumerate(want))
+    assert written(spark) - begun < 4 * len(x)
+    assert {r.core for r in topics.core_distance(points(spark, x[:4])).collect()} == {math.inf}
