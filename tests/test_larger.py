@@ -78,3 +78,24 @@ def test_core_distance_without_structure(spark):
     assert len(got) == len(x) and all(got[i] == w for i, w in enumerate(want))
     assert written(spark) - begun < 4 * len(x)
     assert {r.core for r in topics.core_distance(points(spark, x[:4])).collect()} == {math.inf}
+
+
+def test_density_clusters_of_several_tiles(spark):
+    """Long thin clusters that many blocks share, points beside them and noise; a point is not written for each block."""
+    rng = np.random.default_rng(8)
+    line = lambda n, y: np.stack([rng.uniform(0, 40, n), rng.normal(y, 0.05, n), rng.normal(0, 0.05, n)], axis=1)
+    x = np.concatenate([line(1100, 0), line(900, 1.5), rng.uniform(-5, 45, (400, 3)), rng.uniform(0, 40, (100, 1)) + [0, 0.3, 0]]).round(6)
+    x = np.concatenate([x, x[:20], x[2000:2004]])
+    eps, least, begun = 0.3, 5, written(spark)
+    d = distances(x, x)
+    dense = (d <= eps).sum(axis=1) >= least
+    label = np.where(dense, np.arange(len(x)), len(x))
+    while (now := np.where((d <= eps) & dense, label, len(x)).min(axis=1))[dense].tolist() != label[dense].tolist():
+        label = np.where(dense, now, len(x))
+    near = np.where((d <= eps) & dense, d, np.inf)
+    label = np.where(dense, label, np.where(np.isfinite(near).any(axis=1), label[near.argmin(axis=1)], len(x)))
+    sizes = np.bincount(label)
+    want = {i: int(c) if c < len(x) and sizes[c] >= 5 else None for i, c in enumerate(label)}
+    got = {r.id: r.cluster for r in topics.density_clusters(points(spark, x), eps, least).collect()}
+    assert got == want and len(set(want.values())) >= 3 and None in want.values()
+    assert written(spark) - begun < 8 * len(x)
