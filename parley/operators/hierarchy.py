@@ -2,7 +2,7 @@
 
 The core distance of a point is that of its min_samples-th neighbour, the reach of two points the greatest of their
 distance and their core distances. A minimum spanning tree over reaches is grown by Boruvka rounds: each component
-takes a bound from known neighbours and from one point of each block, and asks only the blocks that may beat it.
+takes a bound from known neighbours, and its points ask only the blocks that may beat it.
 From small reaches to large ones components then merge; those of min_size points are clusters, and of each branch
 the clusters of greatest stability are chosen. Clusters within equal reach merge at once, so that results do not
 depend on the order of ties.
@@ -10,18 +10,19 @@ depend on the order of ties.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
-from .neighbours import BLOCK, SLACK, Blocks, blocks, distances, distinct, nearest, probe, stack
+from ..sources.scratch import drop, stored
+from .neighbours import BLOCK, PACKED, SHARE, Blocks, Tile, apart, blocks, compared, distinct, meeting, nearest
 
 #: Merges that one task works on: the tree is cut by reach so that no connected part of a cut has more.
-MERGES = 1_000_000
+MERGES = 200_000
 #: Reaches below this count as this, so that equal points have a finite density.
 LEAST_REACH = 1e-9
 
@@ -44,72 +45,91 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("comp").agg(F.min("edge").alias("edge"))
 
 
+def _labelled(b: Blocks, points: DataFrame) -> DataFrame:
+    """b.tiles with `core`, from points (id, block, core)."""
+
+    def put(cores: pa.Table, tile: pa.Table) -> pa.Table:
+        x = Tile(tile.combine_chunks().to_batches()[0], 0)
+        return tile.append_column("core", pa.array([_in_order(x.ids, cores.column("id"), cores.column("core")).tobytes()], pa.binary()))
+
+    held = points.select(F.shiftright("block", 24).cast("int").alias("tile"), "id", "core")
+    return held.groupBy("tile").cogroup(b.tiles.groupBy("tile")).applyInArrow(put, f"{PACKED}, core binary")
+
+
+def _in_order(ids: np.ndarray, own: pa.ChunkedArray, values: pa.ChunkedArray) -> np.ndarray:
+    """values, one for each of `own`, in the order of ids."""
+    own = own.to_numpy()
+    order = np.argsort(own)
+    return values.to_numpy()[order[np.searchsorted(own, ids, sorter=order)]]
+
+
+def _least_rows(comp: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The least (w, a, b) of each comp."""
+    order = np.lexsort((b, a, w, comp))
+    order = order[np.flatnonzero(np.concatenate(([True], np.diff(comp[order]) != 0)))] if len(order) else order
+    return comp[order], w[order], a[order], b[order]
+
+
+def _outward(x: Tile, others: Iterator[Tile]) -> pa.RecordBatch:
+    """Of each component in a tile the edge of least reach, less than what is known, to another component in others."""
+    comp, core, known = x.packed("comp"), x.packed("core", np.float64), x.packed("bound", np.float64).copy()
+    found = [np.empty(0, k) for k in (np.int64, np.float64, np.int64, np.int64)]
+    # a point whose own core is not below the bound of its component has no better edge
+    r = np.where(core < known, known, -np.inf)
+    for y in others:
+        theirs, their_core = y.packed("comp"), y.packed("core", np.float64)
+        for rows, there, d, error in compared(x, y, r):
+            bound = known[rows]
+            may = ~(d > (bound**2 * (1 + SHARE) + error)[:, None]) & (comp[rows][:, None] != theirs[there]) & (their_core[there] < bound[:, None])
+            q, m = np.nonzero(may)
+            at, m = rows[q], m + there.start
+            w = np.maximum(np.maximum(apart(x.v[at], y.v[m]), core[at]), their_core[m])
+            better = w < known[at]
+            if better.any():
+                at, m = at[better], m[better]
+                found = list(_least_rows(*(np.concatenate(c) for c in zip(found, (comp[at], w[better], x.ids[at], y.ids[m]), strict=True))))
+                place = np.searchsorted(found[0], comp)
+                place[place == len(found[0])] = 0
+                known = np.where(found[0][place] == comp, np.minimum(known, found[1][place]), known)
+                r[:] = np.where(core < known, known, -np.inf)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["comp", "w", "a", "b"])
+
+
 def spanning_tree(b: Blocks, points: DataFrame) -> DataFrame:
     """(a, b, w) from points (id, block, v, core, near): edges of a minimum spanning tree by reach, and possibly
     others of equal reach between the same components."""
     pairs = points.select(F.col("id").alias("a"), F.col("core").alias("ca"), F.explode("near").alias("n")).select("a", "ca", F.col("n.id").alias("b"), F.col("n.d").alias("d"))
     known = stored(pairs.join(points.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w")))
-    # one point of each block stands for it: as many rows as there are blocks
-    stand = points.groupBy("block").agg(F.min_by(F.struct("id", "core", "v"), "id").alias("p"), F.min("core").alias("core")).orderBy("block").collect()
-    ids, cores, at = np.array([r.p.id for r in stand]), np.array([r.p.core for r in stand]), stack(r.p.v for r in stand) if stand else None
-    least_core, frozen = np.array([r.core for r in stand]), Blocks(None, b.block, b.centre, b.radius, b.size)
-    edges, labels, made = None, stored(points.select("id", F.col("id").alias("comp"))), []
-    while True:
-        now = stored(points.join(labels, "id").select("id", "block", "v", "core", "comp"))
-        mixed = {r.block: (r.lo, r.hi) for r in now.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).collect()}
-        lo, hi = (np.array([mixed[k][j] for k in frozen.block], dtype=np.int64) for j in (0, 1))
-        comp_of = {r.id: r.comp for r in now.join(F.broadcast(points.sparkSession.createDataFrame([(int(i),) for i in ids], "id long")), "id").select("id", "comp").collect()}
-        comps = np.array([comp_of[i] for i in ids.tolist()], dtype=np.int64)
-        if (lo == hi).all() and len(set(lo.tolist())) <= 1:
-            break
-
-        def standing(frames: Iterable[pd.DataFrame], comps=comps) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                x, own, core = stack(f["v"]) if len(f) else None, f["comp"].to_numpy(), f["core"].to_numpy()
-                step, rows = max(1, (1 << 21) // len(ids)), []
-                for i in range(0, len(f), step):
-                    w = np.maximum(np.maximum(distances(x[i : i + step], at), core[i : i + step, None]), cores)
-                    w[own[i : i + step, None] == comps] = np.inf
-                    j = w.argmin(axis=1)
-                    rows.append(pd.DataFrame({"comp": own[i : i + step], "w": w[np.arange(len(j)), j], "a": f["id"].to_numpy()[i : i + step], "b": ids[j]}))
-                if rows:
-                    out = pd.concat(rows)
-                    out = out[np.isfinite(out["w"])]
-                    yield out.sort_values(["w", "a", "b"]).groupby("comp", as_index=False).first()
-
-        stood = now.mapInPandas(standing, "comp long, w double, a long, b long").select("comp", F.struct("w", "a", "b").alias("edge"))
+    tiles = stored(_labelled(b, points))
+    none = points.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w")).limit(0)
+    edges, labels = None, stored(points.select("id", F.shiftright("block", 24).cast("int").alias("tile"), F.col("id").alias("comp")))
+    while labels.agg(F.min("comp") != F.max("comp")).first()[0]:
         label = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
-        cross = known.join(label("a"), "a").join(label("b"), "b").where("ca <> cb")
+        cross = stored(known.select("a", "b", "w").join(label("a"), "a").join(label("b"), "b").where("ca <> cb"))
         edge = F.struct("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        cross = cross.select(F.explode(F.array("ca", "cb")).alias("comp"), edge.alias("edge"))
-        bound = stored(_least(stood.unionByName(cross).where("edge.w < double('infinity')")))
-        unsure = now.join(bound.select("comp", F.col("edge.w").alias("w")), "comp").where("core < w").select("id", "v", "core", "comp", "w")
-
-        def wanted(f: pd.DataFrame, lo=lo, hi=hi) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            own, w = f["comp"].to_numpy(), f["w"].to_numpy()
-            for part, least in frozen.reach(stack(f["v"])):
-                may = (np.maximum(least, least_core) <= w[part, None] + SLACK) & ~((lo == hi) & (own[part, None] == lo))
-                row, block = np.nonzero(may)
-                yield row + part.start, frozen.block[block]
-
-        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            w = np.maximum(np.maximum(distances(stack(x["v"]), stack(y["v"])), x["core"].to_numpy()[:, None]), y["core"].to_numpy())
-            w[x["comp"].to_numpy()[:, None] == y["comp"].to_numpy()] = np.inf
-            j = w.argmin(axis=1)
-            out = pd.DataFrame({"comp": x["comp"].to_numpy(), "w": w[np.arange(len(j)), j], "a": x["id"].to_numpy(), "b": y["id"].to_numpy()[j]})
-            out = out[out["w"] < x["w"].to_numpy()]
-            return out.sort_values(["w", "a", "b"]).groupby("comp", as_index=False).first()
-
-        asked = probe(unsure, now.select("block", "id", "v", "core", "comp"), wanted, meet, "comp long, w double, a long, b long")
-        found = stored(_least(bound.unionByName(asked.select("comp", F.struct("w", "a", "b").alias("edge")))).select("edge.*").distinct())
+        bound = stored(_least(cross.select(F.explode(F.array("ca", "cb")).alias("comp"), edge.alias("edge")).where("edge.w < double('infinity')")))
+        now = labels.join(bound.select("comp", F.col("edge.w").alias("w")), "comp", "left").select("tile", "id", "comp", F.coalesce("w", F.lit(float("inf"))).alias("bound"))
+
+        def put(own: pa.Table, tile: pa.Table) -> pa.Table:
+            x = Tile(tile.combine_chunks().to_batches()[0], 0)
+            for c in ("comp", "bound"):
+                tile = tile.append_column(c, pa.array([_in_order(x.ids, own.column("id"), own.column(c)).tobytes()], pa.binary()))
+            return tile
+
+        placed = stored(now.groupBy("tile").cogroup(tiles.groupBy("tile")).applyInArrow(put, f"{PACKED}, core binary, comp binary, bound binary"))
+        asked = stored(meeting(b, placed, placed, _outward, "comp long, w double, a long, b long"))
+        ordered = asked.select("comp", F.struct("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("edge"))
+        found = stored(_least(bound.unionByName(ordered)).select("edge.*").distinct())
+        drop(placed, asked, bound)
+        drop(known)
+        known = cross
         if found.isEmpty():
             break  # what is left is infinitely far
         edges = found if edges is None else edges.unionByName(found)
         links = found.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = _reachable(links)
-        made.append(labels)
-        labels = stored(labels.join(merged, F.col("comp") == F.col("_id"), "left").select("id", F.coalesce("label", "comp").alias("comp")))
-    none = points.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w")).limit(0)
+        labels, old = stored(labels.join(merged, F.col("comp") == F.col("_id"), "left").select("id", "tile", F.coalesce("label", "comp").alias("comp"))), labels
+        drop(old)
     return none if edges is None else edges.select("a", "b", "w")
 
 

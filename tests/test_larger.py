@@ -7,11 +7,13 @@ import duckdb
 import numpy as np
 from pyarrow import parquet
 
-from parley.operators import topics
+from parley.operators import hierarchy, topics
 from parley.operators.neighbours import blocks, count_near, distances, distinct, nearest
 from parley.plans.queries import ORACLES, QUERIES
 from parley.sources.scratch import folder
 
+from .test_density import brute_hierarchy, frame, groups, planted
+
 SCHEMA = "id long, reduced array<double>"
 
 
@@ -24,6 +26,15 @@ def written(spark):
     return sum(parquet.read_metadata(f).num_rows for f in Path(folder(spark).removeprefix("file:")).parent.rglob("*.parquet") if f.is_file())
 
 
+def tables(spark):
+    """Rows of the tables that are left there, by folder."""
+    rows = {}
+    for f in Path(folder(spark).removeprefix("file:")).parent.rglob("*.parquet"):
+        if f.is_file():
+            rows[f.parent] = rows.get(f.parent, 0) + parquet.read_metadata(f).num_rows
+    return rows
+
+
 def test_low_quality_of_long_and_odd_texts(spark, tmp_path):
     """Long ones, and such as begin with what JSON escapes, or are empty."""
     texts = ["a" * 200_000, '"quoted" and \\ more' * 20_000, "", "\\", '"', "é", "\U0001f600 and more", "ab", 'x","content":"y']
@@ -99,3 +110,11 @@ def test_density_clusters_of_several_tiles(spark):
     got = {r.id: r.cluster for r in topics.density_clusters(points(spark, x), eps, least).collect()}
     assert got == want and len(set(want.values())) >= 3 and None in want.values()
     assert written(spark) - begun < 8 * len(x)
+
+
+def test_hierarchical_clusters_without_structure(spark):
+    """In rounds over all pairs of tiles a point is not written for each block that it may have an edge to."""
+    x, before = planted(9, 8), tables(spark)
+    got = hierarchy.hierarchical_clusters(frame(spark, x), 5, 5, 6, 100).collect()
+    assert groups(got) == brute_hierarchy(x, 5, 5)
+    assert max(n for t, n in tables(spark).items() if t not in before) <= 6 * len(x)
