@@ -118,3 +118,11 @@ def test_hierarchical_clusters_without_structure(spark):
     got = hierarchy.hierarchical_clusters(frame(spark, x), 5, 5, 6, 100).collect()
     assert groups(got) == brute_hierarchy(x, 5, 5)
     assert max(n for t, n in tables(spark).items() if t not in before) <= 6 * len(x)
+
+
+def test_texts_of_the_corpus_are_stored_once(spark):
+    begun = tables(spark)
+    QUERIES["turn_coords"](spark, "/root/testdata/sf0.001")
+    left = [t for t in tables(spark) if t not in begun]
+    named = [t for t in left if "turn_id" in parquet.read_schema(next(t.glob("*.parquet"))).names]
+    assert len(named) == 1 and "raw_text" not in parquet.read_schema(next(named[0].glob("*.parquet"))).names
