@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 from pyarrow import parquet
 
-from parley.operators import hierarchy, topics
+from parley.operators import hierarchy, layout, topics
 from parley.operators.neighbours import blocks, count_near, distances, distinct, nearest
 from parley.plans.queries import ORACLES, QUERIES
 from parley.sources.scratch import folder
@@ -120,6 +120,16 @@ def test_hierarchical_clusters_without_structure(spark):
     assert max(n for t, n in tables(spark).items() if t not in before) <= 6 * len(x)
 
 
+def test_descent_in_parts(spark):
+    """Neighbours that meet a part at a time give the same graph, and nothing is left of the rounds but the last."""
+    one = distinct(points(spark, np.random.default_rng(10).normal(0, 1, (300, 6)))).cache()
+    begun = tables(spark)
+    whole, parts = (layout._descend(one, 5, 32, 4, 42, meet) for meet in (300, 60))
+    rows = lambda g: sorted((r.id, r.other, r.d) for r in g.collect())
+    assert rows(whole) == rows(parts)
+    assert len([t for t in tables(spark) if t not in begun]) == 2
+
+
 def test_texts_of_the_corpus_are_stored_once(spark):
     begun = tables(spark)
     QUERIES["turn_coords"](spark, "/root/testdata/sf0.001")
